@@ -16,13 +16,16 @@ from hustings.plans.session import ship
 #: Rows per Arrow batch: bounds a worker's memory when texts are long.
 ARROW_ROWS = 512
 
+#: The same for rows of a few numbers.
+NARROW_ROWS = 65_536
+
 _own_dirs: dict[str, str] = {}
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """The session, with this package on its executors and Arrow batches bounded for wide texts."""
+def session(spark: SparkSession, arrow_rows: int = ARROW_ROWS) -> SparkSession:
+    """The session, with this package on its executors and Arrow batches bounded: few rows for wide texts, more for narrow ones."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
     return spark
 
 
