@@ -11,47 +11,132 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
 #: Sequences of one task are numbered from its partition number times this.
 TASK_SPAN = 1 << 36
 
 
-class Encoder:
-    """Text to the bytes of its little-endian 32-bit ids, through a memo of space-led chunks.
+#: Byte classes: letters, digits, marks, the apostrophe, white space, control bytes. A lead byte of U+00C0 to U+017F counts as a letter.
+_LETTER, _DIGIT, _MARK, _APOSTROPHE, _SPACE, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTER
+_CLASS[39], _CLASS[32], _CLASS[10] = _APOSTROPHE, _SPACE, _SPACE
+_kept: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder of a file, kept with its memo from task to task."""
+    if path not in _kept:
+        _kept[path] = Encoder(path)
+    return _kept[path]
+
 
-    The tokenizer's own splitting always breaks before a single space between two characters that are not white
-    space, so such chunks encode alone as they do inside the text. Texts with other spaces are encoded whole.
+def breaks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(plain, starts): which texts are plain, and where chunks start in them, by arrays over all bytes.
+
+    A byte-level tokenizer's own splitting always breaks between letters, digits, marks and line ends, and before a
+    space, if each white space is a single space or line end between other characters. So a chunk encodes alone as
+    it does inside its text. Apostrophes stay with their neighbours. Texts that aren't plain have no chunks.
     """
+    n = len(raw)
+    kind = _CLASS[raw]
+    first = np.zeros(n + 1, bool)
+    first[offs] = True
+    space = kind == _SPACE
+    odd = kind == _OTHER
+    # Two white spaces together, white space at an end of a text, the signs between U+00C0 and U+00FF.
+    odd[1:] |= space[1:] & (space[:-1] | first[1:n]) | (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    odd[0] |= space[0]
+    odd |= space & first[1:]
+    before = np.concatenate([[0], np.cumsum(odd)])
+    size = np.diff(offs)
+    plain = (before[offs[1:]] == before[offs[:-1]]) & (size > 0)
+    start = first[:n].copy()
+    line = raw == 10
+    start |= space
+    start[1:] |= line[:-1]
+    start[1:] |= (kind[1:] != kind[:-1]) & ~space[1:] & ~space[:-1] & (kind[1:] != _APOSTROPHE) & (kind[:-1] != _APOSTROPHE)
+    start &= np.repeat(plain, size)
+    return plain, np.flatnonzero(start)
+
 
-    def __init__(self, path: str, most_chunks: int = 400_000):
+class Encoder:
+    """Texts to ids, through a memo of the chunks that breaks() finds, by their 64-bit hashes; other texts are encoded whole."""
+
+    def __init__(self, path: str, most_chunks: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.memo = most_chunks, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plans, need, whole = [], set(), []
-        for text in texts:
-            first, *rest = text.split(" ")
-            if not first or any(not p or p[0].isspace() for p in rest):
-                plans.append(None)
-                whole.append(text)
-            else:
-                parts = [first, *[" " + p for p in rest]]
-                need.update(parts)
-                plans.append(parts)
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        if new := [p for p in need if p not in self.memo]:
-            self.memo.update(zip(new, self._whole(new)))
-        direct = iter(self._whole(whole) if whole else ())
-        get = self.memo.__getitem__
-        return [next(direct) if p is None else b"".join(map(get, p)) for p in plans]
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes that each id stands for: a byte-level vocabulary writes one character for a byte.
+        self.bytes = np.zeros(max(words.values()) + 1, np.int64)
+        for word, i in words.items():
+            self.bytes[i] = len(word)
+        self.most = most_chunks
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.used = 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], chunks: list[bytes], block: int = 4096) -> None:
+        """Adds chunks. Space-led ones are encoded end to end and told apart by their ids' bytes, the others one by one."""
+        order = sorted(range(len(chunks)), key=lambda k: chunks[k][0] != 32)
+        led = sum(c[0] == 32 for c in chunks)
+        parts = [order[i : min(i + block, led)] for i in range(0, led, block)]
+        ids, sizes = [], []
+        for part, found in zip(parts, self._encode([b"".join([chunks[k] for k in p]).decode() for p in parts])):
+            cuts = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum([len(chunks[k]) for k in part])) + 1
+            ids.append(found)
+            sizes.append(np.diff(cuts, prepend=0))
+        alone = self._encode([chunks[k].decode() for k in order[led:]])
+        ids += alone
+        sizes.append(np.array([len(x) for x in alone], np.int64))
+        ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+        at, count = int(self.starts[self.used]), self.used
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while count + len(ends) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[at : at + len(ids)] = ids
+        self.starts[count + 1 : count + 1 + len(ends)] = at + ends
+        self.slots.update(zip([hashes[k] for k in order], range(count, count + len(ends))))
+        self.used += len(ends)
+
+    def __call__(self, raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text, from the UTF-8 bytes of all and their offsets."""
+        if not len(raw):
+            return [np.zeros(0, np.uint32)] * (len(offs) - 1)
+        plain, starts = breaks(raw, offs)
+        if len(self.slots) > self.most:
+            self._clear()
+        data = raw.tobytes()
+        whole = iter(self._encode([data[offs[k] : offs[k + 1]].decode() for k in np.flatnonzero(~plain)]))
+        owner = np.searchsorted(offs, starts, side="right") - 1
+        ends = np.minimum(np.append(starts[1:], len(raw)), offs[owner + 1])
+        hashes, at, back = np.unique(shingles.spans(raw, starts, ends), return_index=True, return_inverse=True)
+        hashes = hashes.tolist()
+        slots = list(map(self.slots.get, hashes))
+        if new := [k for k, s in enumerate(slots) if s is None]:
+            self._learn([hashes[k] for k in new], [data[starts[at[k]] : ends[at[k]]] for k in new])
+            for k in new:
+                slots[k] = self.slots[hashes[k]]
+        slot = np.array(slots, np.int64)[back]
+        begin = self.starts[slot]
+        count = self.starts[slot + 1] - begin
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
+        bounds = total[np.searchsorted(owner, np.arange(len(offs)))].tolist()
+        return [ids[bounds[k] : bounds[k + 1]] if p else next(whole) for k, p in enumerate(plain.tolist())]
 
 
 class SumOfSquares:
@@ -116,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
     kind = base.schema["i"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(tokenizer), SumOfSquares(size)
+        encode, packer = encoder(tokenizer), SumOfSquares(size)
         task = TaskContext.get().partitionId() * TASK_SPAN
         end = np.array([end_id], "<u4").tobytes()
         late: dict[int, list] = {}
@@ -135,8 +220,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
             kinds = kinds or [whole.column(0).type]
             for b in common.pieces(whole, "t", batch_bytes):
                 out = []
-                for i, ids in zip(b.column("i").to_pylist(), encode(common.texts(b.column("t")))):
-                    ids += end
+                for i, found in zip(b.column("i").to_pylist(), encode(*common.text_buffers(b.column("t")))):
+                    ids = found.astype("<u4", copy=False).tobytes() + end
                     total = len(ids) // 4
                     for start in range(0, total, size):
                         part = ids[4 * start : 4 * (start + size)]

@@ -30,6 +30,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each span of bytes, which depends on all of them and on nothing else."""
+    power, inverse = _tables(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, number of the text) of every word [^\\x20\\x09-\\x0D]+, with A-Z lower-cased. A hash depends on all its bytes."""
     n = len(raw)
@@ -44,10 +52,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashes = spans(low, start, end)
     return hashes, np.searchsorted(offs, start, side="right") - 1
 
 
