@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common
+from .chunkmemo import ChunkMemo
 
 #: Sequences of one task are numbered from its partition number times this.
 TASK_SPAN = 1 << 36
@@ -63,12 +64,13 @@ def breaks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return plain, np.flatnonzero(start)
 
 
-class Encoder:
-    """Texts to ids, through a memo of the chunks that breaks() finds, by their 64-bit hashes; other texts are encoded whole."""
+class Encoder(ChunkMemo):
+    """Texts to ids by a byte-level tokenizer file."""
 
     def __init__(self, path: str, most_chunks: int = 1_000_000):
         from tokenizers import Tokenizer
 
+        super().__init__(most_chunks)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         words = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -76,67 +78,26 @@ class Encoder:
         self.bytes = np.zeros(max(words.values()) + 1, np.int64)
         for word, i in words.items():
             self.bytes[i] = len(word)
-        self.most = most_chunks
-        self._clear()
 
-    def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+    def split(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return breaks(raw, offs)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], chunks: list[bytes], block: int = 4096) -> None:
-        """Adds chunks. Space-led ones are encoded end to end and told apart by their ids' bytes, the others one by one."""
-        order = sorted(range(len(chunks)), key=lambda k: chunks[k][0] != 32)
-        led = sum(c[0] == 32 for c in chunks)
-        parts = [order[i : min(i + block, led)] for i in range(0, led, block)]
-        ids, sizes = [], []
-        for part, found in zip(parts, self._encode([b"".join([chunks[k] for k in p]).decode() for p in parts])):
-            cuts = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum([len(chunks[k]) for k in part])) + 1
-            ids.append(found)
-            sizes.append(np.diff(cuts, prepend=0))
-        alone = self._encode([chunks[k].decode() for k in order[led:]])
-        ids += alone
-        sizes.append(np.array([len(x) for x in alone], np.int64))
-        ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
-        at, count = int(self.starts[self.used]), self.used
-        while at + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while count + len(ends) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[at : at + len(ids)] = ids
-        self.starts[count + 1 : count + 1 + len(ends)] = at + ends
-        self.slots.update(zip([hashes[k] for k in order], range(count, count + len(ends))))
-        self.used += len(ends)
-
-    def __call__(self, raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-        """The ids of each text, from the UTF-8 bytes of all and their offsets."""
-        if not len(raw):
-            return [np.zeros(0, np.uint32)] * (len(offs) - 1)
-        plain, starts = breaks(raw, offs)
-        if len(self.slots) > self.most:
-            self._clear()
-        data = raw.tobytes()
-        whole = iter(self._encode([data[offs[k] : offs[k + 1]].decode() for k in np.flatnonzero(~plain)]))
-        owner = np.searchsorted(offs, starts, side="right") - 1
-        ends = np.minimum(np.append(starts[1:], len(raw)), offs[owner + 1])
-        hashes, at, back = np.unique(shingles.spans(raw, starts, ends), return_index=True, return_inverse=True)
-        hashes = hashes.tolist()
-        slots = list(map(self.slots.get, hashes))
-        if new := [k for k, s in enumerate(slots) if s is None]:
-            self._learn([hashes[k] for k in new], [data[starts[at[k]] : ends[at[k]]] for k in new])
-            for k in new:
-                slots[k] = self.slots[hashes[k]]
-        slot = np.array(slots, np.int64)[back]
-        begin = self.starts[slot]
-        count = self.starts[slot + 1] - begin
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
-        bounds = total[np.searchsorted(owner, np.arange(len(offs)))].tolist()
-        return [ids[bounds[k] : bounds[k + 1]] if p else next(whole) for k, p in enumerate(plain.tolist())]
+    def chunks(self, found: list[bytes], block: int = 4096) -> list[np.ndarray]:
+        """Space-led chunks are encoded end to end and told apart by their ids' bytes, the others one by one."""
+        led = [k for k, c in enumerate(found) if c[0] == 32]
+        rest = [k for k, c in enumerate(found) if c[0] != 32]
+        parts = [led[i : i + block] for i in range(0, len(led), block)]
+        out: list = [None] * len(found)
+        for part, ids in zip(parts, self.whole([b"".join([found[k] for k in p]).decode() for p in parts])):
+            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(found[k]) for k in part])) + 1
+            for k, x in zip(part, np.split(ids, cuts[:-1])):
+                out[k] = x
+        for k, x in zip(rest, self.whole([found[k].decode() for k in rest])):
+            out[k] = x
+        return out
 
 
 class SumOfSquares:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, jaccard, media, packing, toxicity, urlfilter
+from . import capfilter, jaccard, lattice, media, sentencepieces, packing, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,21 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilter.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def piece_bpe() -> str:
+    """The public SentencePiece model file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(_table(spark, sf_dir, "documents"), piece_bpe(), group_col="lang")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(_table(spark, sf_dir, "documents"), piece_bpe())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
