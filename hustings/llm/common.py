@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, as it does when the driver's
+    garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its values; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,10 +87,40 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         start = end
 
 
+def forest(edges: DataFrame, most_edges: int = 500_000) -> DataFrame:
+    """Edges (a, b) with the same components: each task joins up to most_edges of them and passes on one edge a vertex."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def flush() -> pa.RecordBatch:
+            pairs = [(x, find(x)) for x in list(parent)]
+            pairs = [p for p in pairs if p[0] != p[1]]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        n = 0
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+            if (n := n + batch.num_rows) >= most_edges:
+                yield flush()
+                n = 0
+        yield flush()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, tag: str, most_rounds: int = 40) -> DataFrame:
     """(id, root): for every vertex of edges (a, b), the smallest id that links reach.
 
-    Alternates large-star and small-star steps, each a min per vertex with map-side combining, and writes
+    Tasks first join the edges they hold. What is left alternates large-star and small-star steps, each a min per vertex with map-side combining, and writes
     each round to the shared folder. A vertex's neighbours are never gathered in one place.
     """
     spark = edges.sparkSession
@@ -106,7 +144,8 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 40) -> DataFrame:
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), tag)
+    given = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")), tag)
+    now = stored(forest(given.coalesce(given.count() // 500_000 + 1)).distinct(), tag)
     before = state(now)
     for _ in range(most_rounds if before[0] else 0):
         now = stored(small(large(now)), tag)

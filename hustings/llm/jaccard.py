@@ -3,7 +3,8 @@
 Documents with the same shingles are one class, represented by the least id. Classes with the same prefix and
 size are one group; prefixes are joined between groups, pairs of groups that pass the size and position filters
 are expanded to their members, and members are verified on whole sets. As only classes of linked documents are
-asked for, each inverted list first proposes a chain and a star; what these link is verified once, and then only
+asked for, each inverted list first proposes a chain and a star, and then one member of its largest component to each of the others; what these
+link is verified once, and then only
 pairs in different components are still candidates, all of which are verified. So a group of m near copies costs
 about m verifications, not m * m, and no link between components is lost.
 """
@@ -24,6 +25,11 @@ from . import common, shingles
 LEVEL_BITS = 21
 #: Shingles whose repeats a task counts together.
 CHUNK = 4_000_000
+#: Spots of the bitmap that tells candidates' texts from others.
+BITMAP_BITS = 23
+#: Members from which a list is long, and long lists of a document that are kept beside each of its rows, at most;
+#: documents on more of them make their pairs on every list.
+LONG_LIST, MOST_LISTS = 256, 512
 
 
 def _digest(x: np.ndarray) -> bytes:
@@ -152,6 +158,12 @@ def _lists(leaders: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(pairs, "h long, g long, n int, pos int, a long, b long")
 
 
+def _fits(n: str, pos: str, other_n: str, other_pos: str, percent: int) -> Column:
+    """Size and position filter on columns."""
+    most = 1 + F.least(F.col(n) - F.col(pos) - 1, F.col(other_n) - F.col(other_pos) - 1)
+    return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & ((100 + percent) * most >= percent * (F.col(n) + F.col(other_n)))
+
+
 def _close(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     """Size and position filter on rows (h, g, n, pos), the first no larger than the second."""
     ns, nl = small[:, 2], large[:, 2]
@@ -159,19 +171,44 @@ def _close(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     return (100 * ns >= percent * nl) & ((100 + percent) * most >= percent * (ns + nl))
 
 
+def _spot(i: Column) -> Column:
+    return F.pmod(F.xxhash64(i), F.lit(1 << BITMAP_BITS)) + 1
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the spots of all ids, so that texts of other documents stay where they are."""
+    spot = _spot(F.col("i"))
+    parts = ids.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m"))
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for r in parts.collect():  # bucket k holds spots (k - 1) * 32768 + 1 and on
+        start = (r["k"] - 1) * 4096
+        out[start : start + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets link."""
     pairs = common.stored(pairs, "jaccard-pairs")
     spark = common.session(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
+    likely = _bitmap(ids)
+    sent = spark.sparkContext.broadcast(likely)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spot = b.column("k").to_numpy(zero_copy_only=False) - 1
+            yield b.select(["i", "t"]).filter(pa.array((sent.value[spot >> 3] >> (spot & 7)) & 1 == 1))
+
+    docs = docs.withColumn("k", _spot(F.col("i"))).mapInArrow(some, "i long, t string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, found in shingles.of_batch(b, "t", size):
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([x.tobytes() for x in found], pa.binary())], names=["i", "s"])
 
-    found = common.stored(docs.join(ids, "i", "left_semi").mapInArrow(run, "i long, s binary"), "jaccard-sets")
-    both = pairs.join(found.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
+    found = common.stored(docs.join(ids.hint("merge"), "i", "left_semi").mapInArrow(run, "i long, s binary"), "jaccard-sets")
+    left, right = (found.select(F.col("i").alias(k), F.col("s").alias(f"s{k}")).hint("merge") for k in "ab")
+    both = pairs.join(left, "a").join(right, "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,6 +224,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return out
 
 
+def _named(root: DataFrame) -> DataFrame:
+    return root.withColumnRenamed("id", "x")
+
+
+def _mixed(spots: DataFrame) -> DataFrame:
+    """(h, top, m, s, t) of the lists with several components: the largest, the members' count and their signature."""
+    per = spots.groupBy("h", "c").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("x")).alias("s"), F.bit_xor(F.xxhash64("x", F.lit(7))).alias("t"))
+    lists = per.groupBy("h").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs"), F.sum("k").alias("m"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"))
+    return lists.filter("cs > 1").select("h", F.col("top.c").alias("top"), "m", "s", "t")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id) for every row: documents link when 100 * shared >= percent * all shingles.
 
@@ -210,34 +258,50 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     leaders = common.stored(leaders, "jaccard-leaders")
     common.session(spark, 2_000)
     lists = common.stored(_lists(leaders, percent), "jaccard-lists")
+    common.tidy(spark)
 
     # What chains and stars propose.
     proposed = lists.filter("a IS NOT NULL").select("a", "b").union(members.filter("x <> g").select(F.col("g").alias("a"), F.col("x").alias("b"))).distinct()
     first = _verified(known, proposed, size, percent)
     same_id = rows.select("i", "d").distinct().groupBy("i").agg(F.count("*").alias("k")).filter("k > 1").select("i")
     twice = rows.join(same_id, "i").join(reps.select("d", "r"), "d").select(F.col("i").alias("a"), F.col("r").alias("b"))
-    known_links = first.union(twice)
-    root = common.components(known_links, "jaccard-roots")
+    links = first.union(twice)
+    root = common.components(links, "jaccard-roots")
+    common.tidy(spark)
 
-    # All the rest: members of different components that share a list or a group.
-    placed = members.join(root.withColumnRenamed("id", "x"), "x", "left").select("g", "x", "n", "m", F.coalesce("root", "x").alias("c"))
-    placed = common.stored(placed, "jaccard-placed")
+    # What is left: members of different components that share a list or a group.
+    placed = common.stored(members.join(_named(root), "x", "left").select("g", "x", "n", "m", F.coalesce("root", "x").alias("c")), "jaccard-placed")
     on_lists = lists.filter("a IS NULL").select("h", "g", "pos").join(placed.select("g", "x", "n", "c"), "g").select("h", "x", "n", "pos", "c")
     in_groups = placed.filter("m > 1").select(F.xxhash64("g").alias("h"), "x", "n", F.lit(0).alias("pos"), "c")
-    spots = on_lists.union(in_groups)
-    per = spots.groupBy("h", "c").agg(F.count("*").alias("k"))
-    mixed = per.groupBy("h").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("h", F.col("top.c").alias("top"))
-    spots = common.stored(spots.join(mixed, "h"), "jaccard-spots")
+    spots = common.stored(on_lists.union(in_groups), "jaccard-all-spots")
+    mixed = _mixed(spots)
+    # Lists with the same members count as one, on which each has its first position.
+    spots = spots.join(mixed, "h").groupBy(F.xxhash64("m", "s", "t").alias("h"), "x").agg(F.min("pos").alias("pos"), *[F.first(k).alias(k) for k in ("n", "c", "top", "m")])
+    spots = common.stored(spots, "jaccard-mixed")
+    common.tidy(spark)
+
+    # Each member outside its list's largest component is tried with one member of it, another one in every list.
+    pick = spots.filter("c = top").groupBy("h").agg(F.min_by(F.struct("x", "n", "pos"), F.xxhash64("x", "h")).alias("p"))
+    tried = spots.filter("c <> top").join(pick, "h").filter(_fits("n", "pos", "p.n", "p.pos", percent))
+    tried = tried.select(F.least("x", "p.x").alias("a"), F.greatest("x", "p.x").alias("b")).distinct().join(proposed, ["a", "b"], "left_anti")
+    tried = common.stored(tried, "jaccard-tried")
+    if tried.take(1):
+        links = links.union(_verified(known, tried, size, percent))
+        root = common.components(links, "jaccard-roots")
+        spots = spots.drop("c", "top", "m").join(_named(root), "x", "left").withColumn("c", F.coalesce("root", "x")).drop("root")
+        spots = common.stored(spots.join(_mixed(spots).select("h", "top", "m"), "h"), "jaccard-mixed")
+        common.tidy(spark)
+
+    # All the rest is verified. On long lists a pair is made only on the first, in the order of shingles, that both are on.
+    own = spots.filter(F.col("m") >= LONG_LIST).groupBy("x").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda s: s["h"]).alias("hs"))
+    spots = common.stored(spots.join(own, "x", "left").withColumn("hs", F.when((F.col("m") >= LONG_LIST) & (F.size("hs") <= MOST_LISTS), F.col("hs"))), "jaccard-spots")
     a, b = spots.filter("c <> top").alias("a"), spots.alias("b")
-    some = F.col("a.n") + F.col("b.n")
-    most = 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
-    fits = (
-        (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.top")) | (F.col("a.x") < F.col("b.x")))
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * most >= percent * some)
-    )
-    rest = a.join(b, fits).select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b")).distinct()
-    second = _verified(known, rest.join(proposed, ["a", "b"], "left_anti"), size, percent)
-    root = common.components(known_links.union(second), "jaccard-components")
+    both = (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.top")) | (F.col("a.x") < F.col("b.x")))
+    here = F.coalesce(F.array_intersect("a.hs", "b.hs")[0] == F.col("a.h"), F.lit(True))
+    rest = a.join(b, both & _fits("a.n", "a.pos", "b.n", "b.pos", percent) & here).select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b")).distinct()
+    rest = common.stored(rest.join(proposed.union(tried), ["a", "b"], "left_anti"), "jaccard-rest")
+    if rest.take(1):
+        root = common.components(links.union(_verified(known, rest, size, percent)), "jaccard-components")
 
     with_rep = all_rows.select("i", "n", "d").join(reps.select("d", "r"), "d", "left")
     out = with_rep.join(root.withColumnRenamed("id", "r"), "r", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -240,22 +241,22 @@ def learn_terms(counts: Sequence[tuple[str, bool, int, int]], positives: int, ne
     return [(text, stem, odds) for (text, stem), (odds, _) in best]
 
 
-def spread(terms: Sequence[tuple[str, bool, float]], documents: Sequence[set], most_pairs: int = 60, most_alike: float = 0.15) -> list[tuple[str, bool, float]]:
+def spread(terms: Sequence[tuple[str, bool, float]], texts: Iterator[str], most_pairs: int = 60, most_alike: float = 0.15) -> list[tuple[str, bool, float]]:
     """The terms whose toxic documents are not copies of each other: of pairs of neighbours among them, at most half
     have more than most_alike of their words in common."""
     holders: dict[tuple[str, bool], list[int]] = {t[:2]: [] for t in terms}
-    for i, found in enumerate(documents):
-        for t in found:
-            if t in holders:
-                holders[t].append(i)
-    words = [{w for w, stem in d if not stem} for d in documents]
+    words = []
+    for i, text in enumerate(texts):
+        for t in holders.keys() & _terms(text):
+            holders[t].append(i)
+        words.append(np.unique(np.array([zlib.crc32(w.encode()) for w in set(text.lower().split())], np.uint32)))
     out = []
     for term in terms:
         own = holders[term[:2]]
         step = max(1, len(own) // most_pairs)
         pairs = [(words[a], words[b]) for a, b in zip(own[::step], own[1::step])]
-        alike = sum(len(a & b) > most_alike * len(a | b) for a, b in pairs)
-        if pairs and 2 * alike <= len(pairs):
+        shared = [(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)) for a, b in pairs]
+        if pairs and 2 * sum(n > most_alike * (both - n) for n, both in shared) <= len(pairs):
             out.append(term)
     return out
 
@@ -292,7 +293,7 @@ def _noise(kept: DataFrame, terms: Sequence[tuple[str, bool, float]]) -> dict[tu
     return {(r["k"], r["e"]): r["n"] for r in found}
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share: float = 0.01, min_evidence: float = 2.5, most_terms: int = 2_000, most_toxic: int = 3_000, most_noise: float = 0.0001, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share: float = 0.01, min_evidence: float = 2.5, most_terms: int = 2_000, most_toxic: int = 2_000, most_noise: float = 0.0001, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled rows that aren't held out: at most most_rows of them, those with the least hash of their id.
 
     Only texts and labels are inputs. Copies and near copies, told by two least word hashes, count once. A null
@@ -307,8 +308,6 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share:
     rows = common.stored(rows, "toxicity-rows")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for b in batches:
             texts = common.texts(b.column("t"))
             keys = [",".join(map(str, sorted({zlib.crc32(w.encode()) for w in set(t.lower().split())})[:2])) for t in texts]
@@ -342,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share:
     found = likely.orderBy(F.desc("p"), "w", "s").limit(20 * most_terms).collect()
     terms = learn_terms([tuple(r) for r in found], sizes[True], sizes[False], min_share, min_evidence, most_terms)
     some = kept.filter("y > 0").orderBy(F.xxhash64("t"), "t").limit(most_toxic).select("t").collect()
-    terms = spread(terms, [_terms(r["t"] or "") for r in some])
+    terms = spread(terms, (r["t"] or "" for r in some))
     model = Model(noise_free(terms, _noise(kept, terms), sizes[False], most_noise))
     sent = spark.sparkContext.broadcast(model)
 
