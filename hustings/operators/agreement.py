@@ -62,4 +62,4 @@ def scores(rows: DataFrame, gold: str, model: str) -> DataFrame:
 def histogram(rows: DataFrame, value: str, bins: int = 10, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """(bin, n) of numeric values, the top value in the last bin; texts that are no numbers go."""
     v = F.col(value).cast("string").try_cast("double")
-    return rows.filter(v.isNotNull()).groupBy(F.least(F.width_bucket(v, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
+    return rows.filter(v.isNotNull()).groupBy(F.least(F.width_bucket(v, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -1,11 +1,10 @@
-"""Registered queries over the driver tables, each with its DuckDB equivalent."""
+"""Registered queries over the driver tables, each with its DuckDB equivalent where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,17 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@register(
-    "class_by_role",
-    "SELECT role, CAST(count(*) AS BIGINT) AS speeches FROM conversations GROUP BY role",
-)
-def class_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("speeches"))
-
-
 def queries() -> dict[str, Query]:
+    from . import graph_queries, text_queries, value_queries  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
