@@ -40,7 +40,13 @@ def shape(vectors: int, per_vector: float = 24.0, filters_per_vector: float = 32
     return max(64, math.ceil(math.sqrt(filters_per_vector * max(vectors, 1))))
 
 
-def decode(unit: np.ndarray, words: int, per_vector: float, seed: int, least: int = 4) -> list[np.ndarray]:
+def decode(unit: np.ndarray, words: int, per_vector: float, seed: int, least: int = 8, tables: int = 2) -> list[np.ndarray]:
+    """The filters of each unit vector in all tables, ascending; tables have codes of their own."""
+    parts = [_decode(unit, words, per_vector, seed + k, least) for k in range(tables)]
+    return [np.concatenate([x + (k << 44) for k, x in enumerate(own)]) for own in zip(*parts)]
+
+
+def _decode(unit: np.ndarray, words: int, per_vector: float, seed: int, least: int) -> list[np.ndarray]:
     """For each unit vector all filters whose score exceeds the cap's height, and at least its `least` best, ascending.
 
     The height lets per_vector filters pass on average, by the normal tail of a random direction.
