@@ -224,7 +224,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         place = {w: k for k, w in enumerate(sent.value)}
         table = np.array(list(sent.value.values())).reshape(len(place), len(each) + 1)
         key = TaskContext.get().partitionId() << 40
-        end = np.hstack(of_words([END], np.zeros((1, len(each))), lattice)) if END not in place else table[[place[END]]]
+        end = np.column_stack(of_words([END], np.zeros((1, len(each))), lattice)) if END not in place else table[[place[END]]]
         for batch in batches:
             for part in common.pieces(batch, "t", 4 << 20):
                 rows, keys, words, times = [], [], [], []
