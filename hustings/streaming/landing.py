@@ -9,10 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hustings.sources import documents
 
+#: What Spark's reader of binary files returns.
+SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.hwp", per_batch: int = 32) -> DataFrame:
     """New files, so many a batch. Files must arrive whole: written elsewhere and moved here."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).load(folder)
+    return spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).load(folder)
 
 
 def ingest(spark: SparkSession, folder: str, out: str, failed: str, checkpoint: str, pattern: str = "*.hwp", per_batch: int = 32, extractor: Callable = documents.hwp) -> StreamingQuery:
