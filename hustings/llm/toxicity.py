@@ -148,7 +148,7 @@ class Model:
 class Scorer:
     """Features and scores of texts under a model; remembers tokens, up to most_tokens."""
 
-    def __init__(self, model: Model, most_tokens: int = 400_000):
+    def __init__(self, model: Model, most_tokens: int = 200_000):
         self.model, self.most = model, most_tokens
         self.automaton = Automaton([(t[0], t[1], t[3]) for t in model.terms])
         self.memo: dict[str, tuple[int, int] | None] = {}
