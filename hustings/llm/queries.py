@@ -76,5 +76,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_JACCARD_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + 4), ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM w WHERE len(l) > 0)
+), n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.k + y.k - both)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b)
+SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(root) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+_CAP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.z > 0 AND b.z > 0 WHERE list_inner_product(a.e, b.e) / (a.z * b.z) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS k FROM u GROUP BY 1)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the two joins; the other operators learn, tokenize, compress or parse, and are tested against brute force."""
+    return {"op6_ngram_jaccard": _JACCARD_SQL, "op10_cap_filters": _CAP_SQL}
