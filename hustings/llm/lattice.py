@@ -166,8 +166,8 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     score is the log10 probability of the words and the end, summed over groups. In a group a word has its
-    discounted share of the group's training tokens, plus the discounted mass times its probability over all groups,
-    which is made likewise with the lattice's marginal below. The discount comes from the words seen once and twice.
+    discounted share of the group's training tokens, plus the discounted mass times a mixture of its share of all
+    training tokens and the lattice's marginal. The discount comes from the words seen once and twice.
     group_col names the groups of training documents; null is one like any, those beyond most_groups count together.
     A null or empty text is its end alone. Repeated rows are learned and scored each; a null id is kept. Words of
     any length are segmented whole; other columns aren't read. Without training documents only the lattice speaks.
@@ -183,25 +183,29 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     for k in names:
         every = every + F.col(k)
     counts = common.stored(_count(train, groups).filter(every > 0).withColumn("c", every), "lattice-counts")
-    sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"), *[F.sum(k).alias(f"n{k}") for k in names], *[F.sum((F.col(k) > 0).cast("long")).alias(f"v{k}") for k in names]).first()
+    sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"), *[F.sum(k).alias(f"n{k}") for k in names], *[F.sum((F.col(k) > 0).cast("long")).alias(f"v{k}") for k in names], *[F.sum((F.col(k) == 1).cast("long")).alias(f"o{k}") for k in names]).first()
     n, v, n1, n2 = (sums[k] or 0 for k in ("n", "v", "n1", "n2"))
     size, kinds = np.array([[float(sums[f"{x}{k}"] or 0) for k in names] for x in "nv"])
     ends = np.array([float(r or 0) for r in (counts.filter(F.col("w") == END).select(*names).first() or [0] * len(names))])
     share = np.log((ends + 1e-9) / (ends + 1e-9).sum())
     discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    spare = math.log(discount * v / n) if n else 0.0
+    # Of the words that are new to a group, as those it holds once tell, this share is new to all groups.
+    once = sum(float(sums[f"o{k}"] or 0) for k in names)
+    fresh = min(1.0, n1 / once) if n1 else 1.0
     spares = np.where(size > 0, np.log(np.maximum(discount * kinds, 1e-9) / np.maximum(size, 1)), 0.0)
     with open(vocabulary, "rb") as f:
         start = prior(read_scores(f.read()))
     frequent = F.col("c") >= max(1.0, n * HEAD)
-    logp = spark.sparkContext.broadcast(_reweigh(counts.filter(frequent & (F.col("w") != END)), start))
+    often = F.col("c") >= max(1.0, n * HEAD / 10)
+    logp = spark.sparkContext.broadcast(_reweigh(counts.filter(often & (F.col("w") != END)), start))
     common.session(spark, 8_192)
 
     def of_words(words: list[bytes], by_group: np.ndarray, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities by the model in each group and log10 ones by the base, of words with these training counts."""
-        low = np.array([spare + (lattice.word(w) if w != END else math.log(1e-6)) for w in words])
+        low = math.log(fresh) + np.array([lattice.word(w) if w != END else math.log(1e-6) for w in words])
         c = by_group.sum(1)
-        over = np.where(c > 0, np.logaddexp(np.log(np.maximum(c - discount, 1e-300) / max(n, 1)), low), low)[:, None] + spares
+        known = np.log(np.maximum((1 - fresh) * c, 1e-300) / max(n, 1))
+        over = np.where(c > 0, np.logaddexp(known, low), low)[:, None] + spares
         own = np.log(np.maximum(by_group - discount, 1e-300) / np.maximum(size, 1))
         return np.where(by_group > 0, np.logaddexp(own, over), over), np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
