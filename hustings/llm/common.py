@@ -51,7 +51,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, so a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*stored: DataFrame) -> None:
+    """Deletes tables of stored() that no later plan reads."""
+    for df in stored:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from . import common, shingles
 #: Hash buckets of the frequency levels that order shingles, fixed whatever the input.
 LEVEL_BITS = 21
 #: Shingles whose repeats a task counts together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Spots of the bitmap that tells candidates' texts from others.
 BITMAP_BITS = 23
 #: Members from which a list is long, and long lists of a document that are kept beside each of its rows, at most;
@@ -98,10 +98,11 @@ def _described(docs: DataFrame, levels: np.ndarray, size: int, percent: int) ->
 
 
 def _lists(leaders: DataFrame, percent: int) -> DataFrame:
-    """From leaders (g, n, x): the inverted lists with two groups or more, as rows (h, g, n, pos, a, b).
+    """From leaders (g, n, x, m): the inverted lists with two groups or more, as rows (h, g, n, pos, a, b).
 
     A row's pair (a, b) is null or proposes a pair of groups: with its neighbour in order of size, or with the
-    first of the list. A list streams through its task in order; none is held.
+    first of the list. Lists of two or three groups of one member each have no other pairs, so only their pairs are
+    rows. A list streams through its task in order; none is held.
     """
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +114,16 @@ def _lists(leaders: DataFrame, percent: int) -> DataFrame:
             for s in range(0, len(row), common.NARROW_ROWS):
                 e = slice(s, s + common.NARROW_ROWS)
                 take = pa.array(row[e])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)[e]), b.column("g").take(take), b.column("n").take(take).cast(pa.int32()), pa.array(pos[e].astype(np.int32))], names=["h", "g", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)[e]), b.column("g").take(take), b.column("n").take(take).cast(pa.int32()), pa.array(pos[e].astype(np.int32)), b.column("m").take(take)], names=["h", "g", "n", "pos", "m"])
 
-    rows = leaders.mapInArrow(postings, "h long, g long, n int, pos int")
+    rows = leaders.mapInArrow(postings, "h long, g long, n int, pos int, m boolean")
     rows = rows.repartition("h").sortWithinPartitions("h", "n", "g")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = np.zeros((0, 4), np.int64)  # the first and the last row of the list that is under way
-        waiting = np.zeros((0, 4), np.int64)  # the last row, while it is alone in its list
+        carry = np.zeros((0, 5), np.int64)  # the first and the last row of the list that is under way
+        waiting = np.zeros((0, 5), np.int64)  # the last row, while it is alone in its list
         for b in batches:
-            now = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "g", "n", "pos")])
+            now = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "g", "n", "pos", "m")])
             if not len(now):
                 continue
             x = np.vstack([carry, now])
@@ -142,7 +143,12 @@ def _lists(leaders: DataFrame, percent: int) -> DataFrame:
                 if other is prev:
                     fits &= prev != first
                 out.append((np.flatnonzero(fits), other[fits]))
-            keep = np.flatnonzero(multi & fresh)
+            # Lists that the batch may not hold whole, long ones and those with a group of several members stay.
+            run = np.cumsum(new) - 1
+            needed = (np.bincount(run) > 3) | (np.bincount(run, weights=x[:, 4]) > 0)
+            needed[-1] = True
+            needed[0] |= len(carry) > 0
+            keep = np.flatnonzero(multi & fresh & needed[run])
             paired = np.concatenate([o[0] for o in out])
             mates = np.concatenate([o[1] for o in out])
             a = np.concatenate([np.full(len(keep), -1), np.minimum(x[paired, 1], x[mates, 1])])
@@ -152,7 +158,7 @@ def _lists(leaders: DataFrame, percent: int) -> DataFrame:
                 none = np.concatenate([np.ones(len(keep), bool), np.zeros(len(paired), bool)])
                 cols = [pa.array(x[base, 0]), pa.array(x[base, 1]), pa.array(x[base, 2].astype(np.int32)), pa.array(x[base, 3].astype(np.int32)), pa.array(a, mask=none), pa.array(z, mask=none)]
                 yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "n", "pos", "a", "b"])
-            waiting = x[-1:] if alone else np.zeros((0, 4), np.int64)
+            waiting = x[-1:] if alone else np.zeros((0, 5), np.int64)
             carry = x[-1:] if alone else np.vstack([x[first[-1]], x[-1]])
 
     return rows.mapInArrow(pairs, "h long, g long, n int, pos int, a long, b long")
@@ -187,8 +193,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets link."""
-    pairs = common.stored(pairs, "jaccard-pairs")
+    """The pairs (a, b) of ids whose whole sets link; pairs must be a stored table."""
     spark = common.session(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
     likely = _bitmap(ids)
@@ -220,7 +225,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     out = common.stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "jaccard-links")
-    common.session(spark)
+    common.release(found)
+    common.tidy(spark)
     return out
 
 
@@ -246,7 +252,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     spark = common.session(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     known = base.filter("i IS NOT NULL")
-    all_rows = common.stored(_described(base, _levels(base, size), size, percent), "jaccard-documents")
+    wide = common.stored(_described(base, _levels(base, size), size, percent), "jaccard-prefixes")
+    all_rows = common.stored(wide.select("i", "n", "d", "p"), "jaccard-documents")
     rows = all_rows.filter("i IS NOT NULL AND n > 0")
 
     reps = rows.groupBy("d").agg(F.min("i").alias("r"), F.first("n").alias("n"), F.first("p").alias("p"))
@@ -254,14 +261,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     groups = reps.groupBy("p").agg(F.min("r").alias("g"), F.count("*").alias("m"))
     members = common.stored(reps.join(groups, "p").select("g", F.col("r").alias("x"), F.col("n").cast("int").alias("n"), "m", "p"), "jaccard-groups")
 
-    leaders = rows.join(members.filter("g = x").select("p", "g").distinct(), "p").filter("i = g").select("g", "n", "x").dropDuplicates(["g", "x"])
-    leaders = common.stored(leaders, "jaccard-leaders")
-    common.session(spark, 2_000)
+    # Rows that repeat an id and its text are leaders twice; their list rows are the same document's.
+    first_of = members.filter("g = x").select("p", "g", (F.col("m") > 1).alias("m")).distinct()
+    leaders = common.stored(wide.filter("n > 0").join(first_of, "p").filter("i = g").select("g", "n", "x", "m"), "jaccard-leaders")
+    common.release(wide)
+    common.tidy(spark)
+    common.session(spark, 4_096)
     lists = common.stored(_lists(leaders, percent), "jaccard-lists")
+    common.release(leaders)
     common.tidy(spark)
 
     # What chains and stars propose.
-    proposed = lists.filter("a IS NOT NULL").select("a", "b").union(members.filter("x <> g").select(F.col("g").alias("a"), F.col("x").alias("b"))).distinct()
+    proposed = lists.filter("a < b").select("a", "b").union(members.filter("x <> g").select(F.col("g").alias("a"), F.col("x").alias("b"))).distinct()
+    proposed = common.stored(proposed, "jaccard-proposed")
     first = _verified(known, proposed, size, percent)
     same_id = rows.select("i", "d").distinct().groupBy("i").agg(F.count("*").alias("k")).filter("k > 1").select("i")
     twice = rows.join(same_id, "i").join(reps.select("d", "r"), "d").select(F.col("i").alias("a"), F.col("r").alias("b"))
@@ -273,11 +285,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     placed = common.stored(members.join(_named(root), "x", "left").select("g", "x", "n", "m", F.coalesce("root", "x").alias("c")), "jaccard-placed")
     on_lists = lists.filter("a IS NULL").select("h", "g", "pos").join(placed.select("g", "x", "n", "c"), "g").select("h", "x", "n", "pos", "c")
     in_groups = placed.filter("m > 1").select(F.xxhash64("g").alias("h"), "x", "n", F.lit(0).alias("pos"), "c")
-    spots = common.stored(on_lists.union(in_groups), "jaccard-all-spots")
-    mixed = _mixed(spots)
+    every = common.stored(on_lists.union(in_groups), "jaccard-all-spots")
+    common.release(lists)
+    mixed = _mixed(every)
     # Lists with the same members count as one, on which each has its first position.
-    spots = spots.join(mixed, "h").groupBy(F.xxhash64("m", "s", "t").alias("h"), "x").agg(F.min("pos").alias("pos"), *[F.first(k).alias(k) for k in ("n", "c", "top", "m")])
+    spots = every.join(mixed, "h").groupBy(F.xxhash64("m", "s", "t").alias("h"), "x").agg(F.min("pos").alias("pos"), *[F.first(k).alias(k) for k in ("n", "c", "top", "m")])
     spots = common.stored(spots, "jaccard-mixed")
+    common.release(every)
     common.tidy(spark)
 
     # Each member outside its list's largest component is tried with one member of it, another one in every list.
