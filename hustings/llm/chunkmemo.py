@@ -11,7 +11,7 @@ class ChunkMemo:
     """Texts to ids. split() says which texts are plain and where chunks that encode alone start in them; the ids of
     chunks are kept by 64-bit hash, up to most_chunks, and texts that aren't plain are encoded whole."""
 
-    def __init__(self, most_chunks: int = 1_000_000):
+    def __init__(self, most_chunks: int = 500_000):
         self.most = most_chunks
         self._clear()
 

@@ -67,7 +67,7 @@ def breaks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder(ChunkMemo):
     """Texts to ids by a byte-level tokenizer file."""
 
-    def __init__(self, path: str, most_chunks: int = 1_000_000):
+    def __init__(self, path: str, most_chunks: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__(most_chunks)
@@ -147,7 +147,7 @@ def _powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each task packs what it reads, in order, as it comes: whole windows are cut from long documents, the rest of

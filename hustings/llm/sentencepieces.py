@@ -159,7 +159,7 @@ class Codec(ChunkMemo):
     ids are kept; else, and for texts that begin with a space or hold the mark itself, texts are encoded whole.
     """
 
-    def __init__(self, path: str, threads: int = 2, most_chunks: int = 1_000_000):
+    def __init__(self, path: str, threads: int = 2, most_chunks: int = 500_000):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         super().__init__(most_chunks)

@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p = np.full(max(n, 1 << 18), base, np.uint64)
             p[0] = 1
             _powers[k] = np.cumprod(p)
     return _powers[0], _powers[1]
@@ -79,7 +79,7 @@ def sets(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def of_batch(batch: pa.RecordBatch, column: str, size: int = 5, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def of_batch(batch: pa.RecordBatch, column: str, size: int = 5, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of a batch with the shingle sets of their texts."""
     for part in common.pieces(batch, column, most_bytes):
         yield part, sets(*common.text_buffers(part.column(column)), size)

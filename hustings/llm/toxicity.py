@@ -332,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share:
         for b in batches:
             for t, y in zip(common.texts(b.column("t")), b.column("y").to_pylist()):
                 (pos if y > 0 else neg).update(_terms(t))
-                if len(pos) + len(neg) > 500_000:
+                if len(pos) + len(neg) > 200_000:
                     yield flush()
         yield flush()
 
