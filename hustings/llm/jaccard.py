@@ -27,6 +27,8 @@ LEVEL_BITS = 21
 CHUNK = 2_000_000
 #: Spots of the bitmap that tells candidates' texts from others.
 BITMAP_BITS = 23
+#: Pairs in an Arrow batch that carries both their sets.
+SET_ROWS = 64
 #: Members from which a list is long, and long lists of a document that are kept beside each of its rows, at most;
 #: documents on more of them make their pairs on every list.
 LONG_LIST, MOST_LISTS = 256, 512
@@ -224,7 +226,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                 keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    common.session(spark, SET_ROWS)
     out = common.stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "jaccard-links")
+    common.session(spark)
     common.release(found)
     common.tidy(spark)
     return out
