@@ -1,8 +1,8 @@
 """Subword lattice likelihood: scores of an existing vocabulary weight all segmentations of a word, and a log-space
 forward recursion sums them.
 
-The vocabulary's scores are made into probabilities of the pieces, re-weighted by their expected uses in the words
-that are frequent in training. A word that training documents hold is also an arc of its own, with its discounted
+The vocabulary's scores are made into probabilities of the pieces, re-weighted by their expected uses in all words
+of training. A word that training documents hold is also an arc of its own, with its discounted
 share of the training tokens, so a text's probability is the sum over all paths of whole words and pieces. It is
 marginal over groups of documents too (languages), each with its own word arcs: a text's group is never looked at.
 Word counts come from all training documents, by partial counts in every task and one aggregation.
@@ -26,6 +26,8 @@ from . import common
 END = b"\n"
 #: Words that at least this share of the training tokens are; so there are at most 1 / HEAD of them, whatever the input.
 HEAD = 1 / 200_000
+#: Bytes of a word up to which no mass underflows a double: a byte has 1e-6 at least after _reweigh, going on 0.1.
+SHORT = 40
 _LOG10 = math.log(10)
 
 
@@ -98,6 +100,74 @@ class Lattice:
                 out[piece] = out.get(piece, 0.0) + math.exp(ahead[start] + a - ahead[n])
         return out
 
+    def _index(self) -> None:
+        """The pieces as a trie in arrays: keys are node * 256 + byte, sorted."""
+        if hasattr(self, "pieces"):
+            return
+        self.pieces = sorted(self.logp)
+        self.place = {p: k for k, p in enumerate(self.pieces)}
+        step: dict[int, int] = {}
+        ends = {}
+        for k, piece in enumerate(self.pieces):
+            node = 0
+            for b in piece:
+                node = step.setdefault(node << 8 | b, len(step) + 1)
+            ends[node] = k
+        self.mass = np.exp(np.array([self.logp[p] for p in self.pieces]) + self.go)
+        self.piece_at = np.full(len(step) + 1, -1)
+        self.piece_at[list(ends)] = list(ends.values())
+        order = sorted(step)
+        self.keys = np.array([*order, np.iinfo(np.int64).max])
+        self.child = np.array([step[k] for k in order])
+
+    def many(self, words: list[bytes], uses: np.ndarray | None = None) -> np.ndarray:
+        """word() of each; the pieces' expected uses in them all are added to uses, in order of self.pieces.
+
+        Words of one length are taken together, without logs up to SHORT bytes."""
+        self._index()
+        out, lengths = np.empty(len(words)), np.array(list(map(len, words)), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            if not 0 < n <= SHORT:
+                for k in at:
+                    out[k] = self.word(words[k])
+                    if uses is not None:
+                        for piece, x in self.expected(words[k]).items():
+                            uses[self.place[piece]] += x
+                continue
+            m = len(at)
+            text = np.frombuffer(b"".join([words[k] for k in at]), np.uint8).reshape(m, n).T.ravel().astype(np.int64)
+            # A cell is start * m + word; arcs[k] has the masses of pieces of k + 1 bytes at all cells.
+            cell, node, arcs = np.arange(n * m), np.zeros(n * m, np.int64), []
+            while len(cell):
+                inside = int(np.searchsorted(cell, (n - len(arcs)) * m))
+                cell, key = cell[:inside], node[:inside] << 8 | text[cell[:inside] + len(arcs) * m]
+                to = np.searchsorted(self.keys, key)
+                fits = self.keys[to] == key
+                cell, node = cell[fits], self.child[to[fits]]
+                piece = self.piece_at[node]
+                hit, piece = cell[piece >= 0], piece[piece >= 0]
+                mass = np.zeros(n * m)
+                mass[hit] = self.mass[piece]
+                arcs.append((mass.reshape(n, m), hit, piece))
+            ahead = np.zeros((n + 1, m))
+            ahead[0] = 1
+            for start in range(n):
+                for k, (mass, _, _) in enumerate(arcs[: n - start], 1):
+                    ahead[start + k] += ahead[start] * mass[start]
+            out[at] = np.log(ahead[n]) - self.go + self.stop
+            if uses is not None:
+                back = np.zeros((n + 1, m))
+                back[n] = 1 / ahead[n]
+                for start in range(n - 1, -1, -1):
+                    for k, (mass, _, _) in enumerate(arcs[: n - start], 1):
+                        back[start] += mass[start] * back[start + k]
+                found += [(piece, ahead.ravel()[hit] * mass.ravel()[hit] * back.ravel()[hit + k * m]) for k, (mass, hit, piece) in enumerate(arcs, 1)]
+        if found:
+            uses += np.bincount(np.concatenate([p for p, _ in found]), np.concatenate([x for _, x in found]), len(uses))
+        return out
+
 
 def _groups(train: DataFrame, most: int) -> dict[str, int]:
     """Numbers of the groups with most documents; the others share the number after them."""
@@ -140,13 +210,14 @@ def _reweigh(words: DataFrame, start: dict[bytes, float], least: float = 0.05, r
         sent = spark.sparkContext.broadcast((logp, stop))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(*sent.value), Counter()
+            lattice, seen = Lattice(*sent.value), 0
+            uses = np.zeros(len(sent.value[0]))
             for b in batches:
-                for w in b.column("w").to_pylist():
-                    total[b""] += 1
-                    for piece, n in lattice.expected(w).items():
-                        total[piece] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.binary()), pa.array([float(x) for x in total.values()], pa.float64())], names=["p", "n"])
+                seen += b.num_rows
+                lattice.many(b.column("w").to_pylist(), uses)
+            used = np.flatnonzero(uses)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([b"", *[lattice.pieces[k] for k in used]], pa.binary()), pa.array([float(seen), *uses[used]], pa.float64())], names=["p", "n"])
 
         found = words.select("w").mapInArrow(run, "p binary, n double").groupBy("p").agg(F.sum("n").alias("n")).collect()
         uses = {bytes(r["p"]): r["n"] for r in found}
@@ -196,13 +267,12 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     with open(vocabulary, "rb") as f:
         start = prior(read_scores(f.read()))
     frequent = F.col("c") >= max(1.0, n * HEAD)
-    often = F.col("c") >= max(1.0, n * HEAD / 10)
-    logp = spark.sparkContext.broadcast(_reweigh(counts.filter(often & (F.col("w") != END)), start))
     common.session(spark, 8_192)
+    logp = spark.sparkContext.broadcast(_reweigh(counts.filter(F.col("w") != END), start))
 
     def of_words(words: list[bytes], by_group: np.ndarray, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities by the model in each group and log10 ones by the base, of words with these training counts."""
-        low = math.log(fresh) + np.array([lattice.word(w) if w != END else math.log(1e-6) for w in words])
+        low = math.log(fresh) + np.where([w == END for w in words], math.log(1e-6), lattice.many(words))
         c = by_group.sum(1)
         known = np.log(np.maximum((1 - fresh) * c, 1e-300) / max(n, 1))
         over = np.where(c > 0, np.logaddexp(known, low), low)[:, None] + spares

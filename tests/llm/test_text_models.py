@@ -110,6 +110,27 @@ def test_forward_is_the_sum_over_segmentations():
         assert math.isclose(sum(n * len(p) for p, n in uses.items()), len(word), rel_tol=1e-9)
 
 
+def test_many_words_are_as_each_alone():
+    with open(PIECES, "rb") as f:
+        m = lattice.Lattice(lattice.prior(lattice.read_scores(f.read())))
+    r = random.Random(0)
+    words = [bytes(r.choices(b"abeinorst", k=r.randint(1, 60))) for _ in range(300)] + ["한국어".encode(), bytes(range(33, 256)), b"x" * lattice.SHORT, b"x" * (lattice.SHORT + 1), b"a"]
+    uses = np.zeros(len(m.logp))
+    assert np.allclose(m.many(words, uses), [m.word(w) for w in words], rtol=1e-9)
+    want = Counter()
+    for w in words:
+        want.update(m.expected(w))
+    assert np.allclose(uses, [want[p] for p in m.pieces], rtol=1e-9)
+
+
+def test_weights_are_learned_from_rare_words_too(edge_docs, monkeypatch):
+    """HEAD only tells how words reach the scoring; at 1 no word is frequent, as in an input of any size for rare ones."""
+    scores = lambda: sorted(r.score for r in lattice.score(edge_docs, PIECES, group_col="lang").collect())
+    want = scores()
+    monkeypatch.setattr(lattice, "HEAD", 1.0)
+    assert np.allclose(scores(), want, rtol=1e-9)
+
+
 def test_counts_and_base(spark, edge_docs):
     rows = edge_docs.collect()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
