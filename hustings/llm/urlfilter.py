@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -37,38 +38,50 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """At most eight tokens of a url, one of each kind, digits written as 0; so a transaction has at most 2**8 subsets."""
+    """All tokens of a url, each once, digits written as 0: every host label, path segment and query key wherever it
+    stands, and scheme, top-level domain, the last two labels, first segment, ending and fragment."""
     labels = F.split(host, r"\.")
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     last = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit(""))
-    kinds = {
+    query = F.coalesce(F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1), F.lit(""))
+    one = {
         "scheme": F.coalesce(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), F.lit("")),
         "tld": F.try_element_at(labels, F.lit(-1)),
         "site": F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))),
-        "sub": F.when(F.size(labels) > 2, labels[0]),
         "top": F.try_element_at(segments, F.lit(1)),
         "end": F.when(path.endswith("/"), F.lit("/")).otherwise(F.regexp_extract(last, r"(\.[A-Za-z0-9]+)\z", 1)),
-        "key": F.regexp_extract(url, r"\?([^=&#]+)", 1),
         "part": F.regexp_extract(url, r"#(.*)\z", 1),
     }
-    made = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}:"), F.regexp_replace(v, "[0-9]+", "0"))) for k, v in kinds.items()]
-    return F.array_distinct(F.array_compact(F.array(*made)))
+    many = {"host": labels, "seg": segments, "key": F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1))}
+
+    def token(kind: str, v: Column) -> Column:
+        return F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{kind}:"), F.regexp_replace(v, "[0-9]+", "0")))
+
+    made = [F.array(*[token(k, v) for k, v in one.items()])] + [F.transform(v, partial(token, k)) for k, v in many.items()]
+    return F.array_distinct(F.array_compact(F.concat(*made)))
 
 
 def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.9) -> list[tuple[frozenset, str, float, float]]:
     """(tokens, verdict, confidence, support) from (tokens, verdict) rows, best first.
 
-    Every labelled row counts. With at most eight tokens a row there are at most 2**9 / min_support frequent
-    sets, whatever the input, so the rules fit the driver and a broadcast. A rule goes when a rule on fewer of
-    its tokens has its verdict and no less confidence. No labelled rows: no rules.
+    Every labelled row counts. A rule goes when a rule on fewer of its tokens has its verdict and no less confidence.
+    So FP-growth sees only tokens that longer rules can hold: those below min_support are in none, and neither are
+    those with one verdict or in every row, whose longer rules go in favour of shorter ones. No labelled rows: no rules.
     """
     rows = labelled.filter(F.size("tokens") > 0)
-    if not rows.take(1):
+    total = rows.count()
+    if not total:
         return []
-    baskets = rows.select(F.concat("tokens", F.array(F.concat(F.lit(_MARK), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.filter(F.col("consequent")[0].startswith(_MARK)).select("antecedent", "consequent", "confidence", "support").collect()
-    rules = [(frozenset(r[0]), r[1][0].removeprefix(_MARK), r[2], r[3]) for r in found]
+    single = rows.select(F.explode(F.array_distinct("tokens")).alias("k"), "verdict").groupBy("k", "verdict").agg(F.count("*").alias("n"))
+    often = single.groupBy("k").agg(F.sum("n").alias("n"), F.collect_list(F.struct("verdict", "n")).alias("v")).filter(F.col("n") >= min_support * total).collect()
+    rules = [(frozenset([r["k"]]), v["verdict"], v["n"] / r["n"], v["n"] / total) for r in often for v in r["v"] if v["n"] >= min_support * total and v["n"] >= min_confidence * r["n"]]
+    open_ = [r["k"] for r in often if len(r["v"]) > 1 and r["n"] < total]
+    if len(open_) > 1:
+        sent = F.array(*[F.lit(k) for k in sorted(open_)])
+        baskets = rows.select(F.concat(F.array_intersect("tokens", sent), F.array(F.concat(F.lit(_MARK), "verdict"))).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+        found = model.associationRules.filter(F.col("consequent")[0].startswith(_MARK) & (F.size("antecedent") > 1)).select("antecedent", "consequent", "confidence", "support").collect()
+        rules += [(frozenset(r[0]), r[1][0].removeprefix(_MARK), r[2], r[3]) for r in found]
     rules.sort(key=lambda r: (-r[2], -r[3], len(r[0]), r[1], sorted(r[0])))
     kept: dict[str, list[tuple[frozenset, float]]] = defaultdict(list)
     out = []

@@ -340,6 +340,29 @@ def test_mined_rules_judge_other_urls(spark):
     assert any(r.rule is None and r.mined is not None and r.confidence >= 0.9 for r in got)
 
 
+def test_labels_segments_and_keys_anywhere_are_tokens(spark):
+    """What tells block from allow stands between other labels, in a later segment or in a later key."""
+    hosts = [f"http://www.{'cheap-pills' if k % 2 else 'news'}.s.example.{'net' if k % 2 else 'com'}/{'en' if k % 2 == 0 else 'x'}/a" for k in range(60)]
+    paths = [f"http://a.example.{'net/x' if k % 2 else 'net/en'}/b/{'buy' if k % 2 else 'read'}/c?q=1&{'ref' if k % 2 else 'lang'}=2" for k in range(60)]
+    asked = ["ftp://m.cheap-pills.www.other.info/z", "ftp://q.info/y/z/buy/w", "ftp://q.info/y?a=1&b=2&ref=3"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(hosts + paths + asked)), "page_id long, url string"), RULES, default="none").orderBy("page_id").collect()
+    assert [(r.rule, r.verdict, r.mined) for r in got[120:]] == [(None, "block", m) for m in ("host:cheap-pills", "seg:buy", "key:ref")]
+
+
+def test_mined_rules_against_all_subsets(spark):
+    r = random.Random(1)
+    rows = [(sorted({"t", *(x for x in "abcdefg" if r.random() < 0.4)}), "block" if r.random() < 0.5 else "allow") for _ in range(150)]
+    rows = [(t, "block" if "a" in t and "b" in t or "g" in t else v) for t, v in rows]
+    found = {}
+    for m in range(1, 2**8):
+        s = frozenset(x for k, x in enumerate("abcdefgt") if m >> k & 1)
+        n = Counter(v for t, v in rows if s <= set(t))
+        found |= {(s, v): k / sum(n.values()) for v, k in n.items() if k >= 0.02 * len(rows) and k >= 0.8 * sum(n.values())}
+    want = {k: c for k, c in found.items() if not any(v == k[1] and s < k[0] and d >= c for (s, v), d in found.items())}
+    got = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8)
+    assert {(s, v): round(c, 9) for s, v, c, _ in got} == {k: round(c, 9) for k, c in want.items()}
+
+
 def test_matcher_against_subsets():
     rules = [(frozenset(s), "block", 1.0, 0.1) for s in ({"a"}, {"b", "c"}, {"a", "d"}, {"e", "f", "g"})]
     m = urlfilter.Matcher(rules)
