@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hustings.functions import lexicons as lx
 from hustings.functions import text as tx
 from hustings.operators import headers, keywords, turns
+from hustings.plans import text_queries
 from hustings.plans.session import ship
 
 # Chunks with the title and the name that they begin with.
@@ -139,3 +140,13 @@ def test_ledger_counts_on_korean(spark):
     got = keywords.ledger_counts(spark.createDataFrame([("이 민족과 이민, 외국인 외인",), (None,)], "Speech string")).collect()
     assert (got[0].Immigration, got[0].Foreigner, got[0].Keyword_Total, got[0].Discourse_Boundary, got[0].Keyword_Spaced_Extra) == (2, 2, 4, 4, 1)
     assert got[1].Keyword_Total == 0
+
+
+def test_header_parse_all_keeps_every_document(spark, tmp_path):
+    texts = [None, "", "한국어 본문", '"인용" 말', "(괄호) 말", "  앞 공백", "끝 공백 \n", "plain text"]
+    rows = [(k, texts[k % 8]) for k in range(280)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = text_queries
+    got = sorted(tuple(r) for r in q.header_parse_all(spark, str(tmp_path)).select("doc_id", "Title_Role", "Speaker", "speech_chars").collect())
+    want = [(d, q.ROLES[d % 5] if d % 7 != 0 else "", q.NAMES[d % 3] if d % 7 != 1 else "", len((t or "").strip())) for d, t in rows]
+    assert got == want
