@@ -163,6 +163,13 @@ def roster_join(spark, sf_dir):
     return roster.join_roster(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), people, ["o_custkey"])
 
 
+@register("roster_join_all", "SELECT o_orderkey, o_custkey, o_totalprice, coalesce(c_mktsegment, '미상/직책자') AS Party, CASE WHEN c_mktsegment IS NOT NULL THEN '의원' ELSE '미상/직책자' END AS Speaker_Type FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def roster_join_all(spark, sf_dir):
+    """The join with the whole roster."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("Party"))
+    return roster.join_roster(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), people, ["o_custkey"])
+
+
 @register("name_inside", "WITH r AS (SELECT 'N' || n_nationkey AS m, n_nationkey AS o FROM nation), d AS (SELECT DISTINCT c_nationkey % 2 AS g, 'XN' || c_nationkey || 'Z' AS name FROM customer) SELECT g, name, m AS member FROM (SELECT g, name, m, row_number() OVER (PARTITION BY g, name ORDER BY length(m) DESC, o, m) AS k FROM d JOIN r ON contains(name, m)) WHERE k = 1")
 def name_inside(spark, sf_dir):
     """Names inside longer names: N1 is inside XN12Z too, and the longest wins."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hustings.operators import agreement, centrality, network, roster, rollups, series
+from hustings.plans import value_queries
 from hustings.sources import documents, sinks, tables
 from hustings.streaming import landing
 
@@ -220,3 +221,10 @@ def test_sinks(spark, tmp_path):
     for n in (1, 2):
         sinks.swap(spark.range(n), str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2 and spark.read.parquet(str(tmp_path / "table.bak")).count() == 1
+
+
+def test_roster_join_all_keeps_the_whole_roster_and_unmatched_speakers(spark, tmp_path):
+    spark.createDataFrame([(k, f"P{k}") for k in range(1, 7)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k, 1.0) for k in range(1, 9)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_custkey: (r.Party, r.Speaker_Type) for r in value_queries.roster_join_all(spark, str(tmp_path)).collect()}
+    assert got == {k: (f"P{k}", "의원") if k < 7 else ("미상/직책자", "미상/직책자") for k in range(1, 9)}
