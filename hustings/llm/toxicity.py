@@ -293,10 +293,43 @@ def _noise(kept: DataFrame, terms: Sequence[tuple[str, bool, float]]) -> dict[tu
     return {(r["k"], r["e"]): r["n"] for r in found}
 
 
+def _without_copies(rows: DataFrame, least: float = 0.75, size: int = 128) -> DataFrame:
+    """(t, y) without near copies: texts of one label with an equal key that share `least` of their words.
+
+    Keys are the two least word hashes, the least and the greatest hash of five words in a row. In turn each key's
+    least text stays and that one's near copies go; all its other texts stay too, so none goes for an equal key
+    alone. The share is exact up to `size` words in both texts, and else that of their least hashes.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, y, hashes, keys = common.texts(b.column("t")), b.column("y").to_pylist(), [], []
+            for t, label in zip(texts, y):
+                words = t.lower().split()
+                own = sorted({zlib.crc32(w.encode()) for w in set(words)})[:size]
+                runs = [zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))]
+                hashes.append(own)
+                keys.append([f"{int(label > 0)},{k}" for k in (own[:2], min(runs), max(runs))])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.string()), b.column("y")], names=["k", "s", "t", "y"])
+
+    left = common.stored(rows.mapInArrow(sketch, "k array<string>, s array<long>, t string, y int"), "toxicity-sketches")
+    union = F.slice(F.array_sort(F.array_union("s", "f")), 1, size)
+    shared = F.array_intersect(F.array_intersect(union, F.col("s")), F.col("f"))
+    for turn in range(3):
+        keyed = left.withColumn("key", F.col("k")[turn])
+        first = common.stored(keyed.groupBy("key").agg(F.min(F.struct("t", "y", "s", "k")).alias("r"), F.count("*").alias("n")), "toxicity-firsts")
+        pairs = keyed.join(F.broadcast(first.filter("n > 1").select("key", F.col("r.s").alias("f"))), "key")
+        others = pairs.filter(F.size(shared) < least * F.size(union)).select("k", "s", "t", "y")
+        old, left = left, common.stored(first.select("r.k", "r.s", "r.t", "r.y").union(others), "toxicity-sketches")
+        common.release(old, first)
+        common.tidy(rows.sparkSession)
+    return left.select("t", "y")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share: float = 0.01, min_evidence: float = 2.5, most_terms: int = 2_000, most_toxic: int = 2_000, most_noise: float = 0.0001, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled rows that aren't held out: at most most_rows of them, those with the least hash of their id.
 
-    Only texts and labels are inputs. Copies and near copies, told by two least word hashes, count once. A null
+    Only texts and labels are inputs. Copies and near copies of one label, told by _without_copies, count once. A null
     label is none; a row labelled twice takes the larger label. Without labelled rows of both kinds the lexicon is
     empty and every score nearly 0. What reaches the driver is bounded: terms by their share of toxic documents
     and most_terms, texts by most_toxic (to tell terms that only copies share), features by most_rows.
@@ -307,13 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share:
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL").join(F.broadcast(known), "i").select("t", "y")
     rows = common.stored(rows, "toxicity-rows")
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = common.texts(b.column("t"))
-            keys = [",".join(map(str, sorted({zlib.crc32(w.encode()) for w in set(t.lower().split())})[:2])) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts), b.column("y")], names=["k", "t", "y"])
-
-    kept = rows.mapInArrow(sketch, "k string, t string, y int").groupBy("k").agg(F.min(F.struct("t", "y")).alias("r")).select("r.t", "r.y")
+    kept = _without_copies(rows)
     kept = common.stored(kept, "toxicity-kept")
     sizes = {r["y"] > 0: r["n"] for r in kept.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(True) and sizes.get(False)):

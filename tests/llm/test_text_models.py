@@ -66,6 +66,15 @@ def toxic_model(labelled):
     return toxicity.fit(*labelled)
 
 
+def test_only_checked_copies_of_one_label_go(spark):
+    """Long texts that share their two least word hashes by chance are no copies, nor are texts of unlike labels."""
+    by_hash = sorted((f"w{k}" for k in range(20_000)), key=lambda w: zlib.crc32(w.encode()))
+    text = lambda k: " ".join(by_hash[:2] + by_hash[100 + 200 * k : 100 + 200 * (k + 1)])
+    rows = [(text(k), k % 2) for k in range(8)] + [(text(0), 1), (text(1) + " w1", 1), (text(0), 0), ("", 0), ("", 0)]
+    got = toxicity._without_copies(spark.createDataFrame(rows, "t string, y int")).collect()
+    assert sorted((r.t, r.y) for r in got) == sorted([(text(k), k % 2) for k in range(8)] + [(text(0), 1), ("", 0)])
+
+
 def test_held_out_accuracy(labelled, toxic_model):
     got = toxicity.score(labelled[0], toxic_model).join(labelled[1], "doc_id").filter("held_out").collect()
     assert len(got) > 100 and np.mean([r.predicted == r.toxic for r in got]) >= 0.97
