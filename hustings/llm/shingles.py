@@ -9,9 +9,10 @@ import pyarrow as pa
 
 from . import common
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_WEIGHT = np.uint64(0x9E3779B97F4A7C15)
+#: Primes below 2^31, a base for each, and the base's inverse: sums of 2^25 bytes times a power fit 64 bits.
+_FIELDS = tuple((p, base, pow(base, -1, p)) for p, base in ((2147483647, 1_580_030_173), (2147483629, 1_128_889_081)))
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,25 +22,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 18), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
+def _power_table(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** k modulo prime for k below n, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out
+
+
+def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    if not _powers or len(_powers[0][0]) < n:
+        size = max(n, 1 << 18)
+        _powers[:] = [(_power_table(base, p, size), _power_table(inverse, p, size)) for p, base, inverse in _FIELDS]
+    return _powers
 
 
 def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash for each span of bytes, which depends on all of them and on nothing else."""
-    power, inverse = _tables(len(raw))
+    """A hash for each span of bytes: its polynomials in two prime fields and its length, mixed.
+
+    Two different spans of n bytes share it with a chance of about n^2 / 2^62; where even that would matter, bytes
+    are compared.
+    """
+    out = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    wide = raw.astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for (p, _, _), (power, inverse), shift in zip(_FIELDS, _tables(len(raw)), (31, 0)):
+        np.cumsum(wide * power[: len(raw)], out=total[1:])
+        prime = np.uint64(p)
+        out ^= mix(((total[end] - total[start]) % prime * inverse[start] % prime << np.uint64(shift)) + np.uint64(shift))
+    return mix(out)
 
 
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of the text) of every word [^\\x20\\x09-\\x0D]+, with A-Z lower-cased. A hash depends on all its bytes."""
+    """(hash, number of the text) of every word [^\\x20\\x09-\\x0D]+, with A-Z lower-cased."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -61,7 +76,7 @@ def sets(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> list[np.ndarray]:
     hashes, owner = words(raw, offs)
     count = np.bincount(owner, minlength=len(offs) - 1)
     ends = np.cumsum(count)
-    weights = mix(np.arange(1, size + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    weights = mix(np.arange(1, size + 1, dtype=np.uint64) * _WEIGHT) | np.uint64(1)
     m = max(0, len(hashes) - size + 1)
     made = np.zeros(m, np.uint64)
     for j in range(size):

@@ -34,3 +34,15 @@ def edge_docs(docs):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def thue_morse():
+    def make(bits):
+        """The word of 2^bits letters and its complement: equal under any polynomial modulo 2^64 with an odd base."""
+        word = "a"
+        for _ in range(bits):
+            word += word.translate(str.maketrans("ab", "ba"))
+        return word, word.translate(str.maketrans("ab", "ba"))
+
+    return make

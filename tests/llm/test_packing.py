@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from hustings.llm import common, packing
+from hustings.llm import chunkmemo, common, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,22 @@ def test_chunks_encode_as_whole_texts(plain):
     assert [x.tolist() for x in got] == [plain(t) for t in texts]
 
 
+def test_chunks_under_one_hash_are_told_apart(plain, monkeypatch):
+    """Whatever chunks share a hash, ids are those of the whole text."""
+    texts = ["one two six", "ten one", "a longer word", "six ten two", "x" * 40 + " ten", "one", "two longer one"]
+    monkeypatch.setattr(chunkmemo.shingles, "spans", lambda raw, start, end: ((end - start) % 3).astype(np.uint64))
+    memo = packing.Encoder(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in memo(*common.text_buffers(pa.array(texts)))] == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("bits", [11, 12])
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(plain, thue_morse, bits):
+    words = thue_morse(bits)
+    memo = packing.Encoder(PATH)
+    assert [memo(*common.text_buffers(pa.array([w])))[0].tolist() for w in words] == [plain(w) for w in words]
+
+
 def check(rows, texts, plain, size):
     """Every id in one piece, pieces gapless in their sequences, nothing padded but to a power of two or the size."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)
