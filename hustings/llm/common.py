@@ -64,6 +64,30 @@ def release(*stored: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shelf:
+    """Stored tables of one operator: put() stores one, drop() deletes some, close() all that are left."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def put(self, df: DataFrame, tag: str) -> DataFrame:
+        self.held.append(stored(df, tag))
+        return self.held[-1]
+
+    def take(self, df: DataFrame) -> DataFrame:
+        """Holds a table that another operator stored."""
+        self.held.append(df)
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        release(*tables)
+        self.held = [t for t in self.held if not any(t is x for x in tables)]
+
+    def close(self) -> None:
+        release(*self.held)
+        self.held = []
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, as it does when the driver's
     garbage is collected."""
@@ -87,7 +111,7 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold most_bytes at most, or one row."""
     _, offs = text_buffers(batch.column(column))
     start = 0
@@ -128,10 +152,11 @@ def forest(edges: DataFrame, most_edges: int = 500_000) -> DataFrame:
 
 
 def components(edges: DataFrame, tag: str, most_rounds: int = 40) -> DataFrame:
-    """(id, root): for every vertex of edges (a, b), the smallest id that links reach.
+    """A stored table (id, root): for every vertex of edges (a, b), the smallest id that links reach.
 
-    Tasks first join the edges they hold. What is left alternates large-star and small-star steps, each a min per vertex with map-side combining, and writes
-    each round to the shared folder. A vertex's neighbours are never gathered in one place.
+    Tasks first join the edges they hold. What is left alternates large-star and small-star steps, each a min per vertex
+    with map-side combining. Each round is written to the shared folder and deleted after the next. A vertex's
+    neighbours are never gathered in one place.
     """
     spark = edges.sparkSession
 
@@ -152,19 +177,23 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 40) -> DataFrame:
         )
 
     def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     given = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")), tag)
     now = stored(forest(given.coalesce(given.count() // 500_000 + 1)).distinct(), tag)
+    release(given)
     before = state(now)
     for _ in range(most_rounds if before[0] else 0):
-        now = stored(small(large(now)), tag)
+        old, now = now, stored(small(large(now)), tag)
+        release(old)
         after = state(now)
-        if tuple(after) == tuple(before):
+        if after == before:
             break
         before = after
     else:
         if before[0]:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()) if before[0] else spark.createDataFrame([], roots.schema)
+    out = stored(roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()), tag)
+    release(now)
+    return out

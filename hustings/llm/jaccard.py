@@ -3,10 +3,11 @@
 Documents with the same shingles are one class, represented by the least id. Classes with the same prefix and
 size are one group; prefixes are joined between groups, pairs of groups that pass the size and position filters
 are expanded to their members, and members are verified on whole sets. As only classes of linked documents are
-asked for, each inverted list first proposes a chain and a star, and then one member of its largest component to each of the others; what these
-link is verified once, and then only
-pairs in different components are still candidates, all of which are verified. So a group of m near copies costs
-about m verifications, not m * m, and no link between components is lost.
+asked for, each inverted list first proposes a chain and a star, and then one member of its largest component to
+each of the others; what these link is verified once, and then only pairs in different components are still
+candidates, all of which are verified. So a group of m near copies costs about m verifications, not m * m, and no
+link between components is lost. Before whole sets are compared, counts of their shingles by bucket bound the number
+of shared ones from above; most pairs end there, and only the texts of the others move.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ LEVEL_BITS = 21
 CHUNK = 2_000_000
 #: Spots of the bitmap that tells candidates' texts from others.
 BITMAP_BITS = 23
-#: Pairs in an Arrow batch that carries both their sets.
-SET_ROWS = 64
+#: Pairs in an Arrow batch that carries both their texts, and bytes of the first texts that are compared in one step.
+PAIR_ROWS, PAIR_BYTES = 64, 1 << 20
 #: Members from which a list is long, and long lists of a document that are kept beside each of its rows, at most;
 #: documents on more of them make their pairs on every list.
 LONG_LIST, MOST_LISTS = 256, 512
@@ -84,8 +85,32 @@ def _prefix(x: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return x[np.lexsort((x, level))[:keep]] if level.any() else x[:keep]
 
 
+def _buckets(n: int) -> int:
+    """Buckets of the sketch of n shingles: a power of two, n / 4 to n / 2 of them."""
+    return max(16, 1 << max(n.bit_length() - 2, 0))
+
+
+def _sketch(x: np.ndarray) -> bytes:
+    """Counts of a set's shingles by bucket, in as few bytes each as the largest needs."""
+    size = _buckets(len(x))
+    counts = np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(next(t for t in ("u1", "u2", "u4") if counts.max() < 1 << 8 * np.dtype(t).itemsize)).tobytes()
+
+
+def _counts(sketch: bytes, n: int) -> np.ndarray:
+    size = _buckets(n)
+    return np.frombuffer(sketch, f"u{len(sketch) // size}").astype(np.int64)
+
+
+def most_shared(a: bytes, n: int, b: bytes, m: int) -> int:
+    """An upper bound of the shingles that two sets of n and m share, from their sketches."""
+    x, y = _counts(a, n), _counts(b, m)
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, size).sum(0), y.reshape(-1, size).sum(0)).sum())
+
+
 def _described(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(i, n, d, p, x) of every document: set size, digest of the set, digest of size and prefix, prefix."""
+    """(i, n, d, p, k, x) of every document: set size, digest of the set, digest of size and prefix, sketch, prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     kind = docs.schema["i"].dataType.simpleString()
 
@@ -94,9 +119,10 @@ def _described(docs: DataFrame, levels: np.ndarray, size: int, percent: int) ->
             for part, found in shingles.of_batch(b, "t", size):
                 prefixes = [_prefix(x, sent.value, percent) for x in found]
                 keys = [_digest(np.append(p, np.uint64(len(x)))) for p, x in zip(prefixes, found)]
-                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found], pa.binary()), pa.array(keys, pa.binary()), pa.array([p.tobytes() for p in prefixes], pa.binary())], names=["i", "n", "d", "p", "x"])
+                blobs = [[_digest(x) for x in found], keys, [_sketch(x) for x in found], [p.tobytes() for p in prefixes]]
+                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([len(x) for x in found], pa.int64()), *[pa.array(c, pa.binary()) for c in blobs]], names=["i", "n", "d", "p", "k", "x"])
 
-    return docs.mapInArrow(run, f"i {kind}, n long, d binary, p binary, x binary")
+    return docs.mapInArrow(run, f"i {kind}, n long, d binary, p binary, k binary, x binary")
 
 
 def _lists(leaders: DataFrame, percent: int) -> DataFrame:
@@ -194,42 +220,53 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets link; pairs must be a stored table."""
+def _links(n: int, m: int, shared: int, percent: int) -> bool:
+    return shared > 0 and 100 * shared >= percent * (n + m - shared)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link; sketches: (i, n, k), of stored tables both."""
+    left, right = (sketches.select(F.col("i").alias(s), F.struct("n", "k").alias(f"k{s}")).hint("merge") for s in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka.n", "ka.k", F.col("kb.n").alias("m"), F.col("kb.k").alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, k, m, j = (b.column(c).to_pylist() for c in ("n", "k", "m", "j"))
+            keep = [x > 0 < y and _links(x, y, most_shared(s, x, t, y), percent) for x, s, y, t in zip(n, k, m, j)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose whole sets link, as a stored table; pairs must be one too."""
     spark = common.session(docs.sparkSession)
+    shelf = common.Shelf()
+    pairs = shelf.put(_plausible(pairs, sketches, percent), "jaccard-plausible")
     ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-    likely = _bitmap(ids)
-    sent = spark.sparkContext.broadcast(likely)
+    sent = spark.sparkContext.broadcast(_bitmap(ids))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spot = b.column("k").to_numpy(zero_copy_only=False) - 1
             yield b.select(["i", "t"]).filter(pa.array((sent.value[spot >> 3] >> (spot & 7)) & 1 == 1))
 
-    docs = docs.withColumn("k", _spot(F.col("i"))).mapInArrow(some, "i long, t string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, found in shingles.of_batch(b, "t", size):
-                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([x.tobytes() for x in found], pa.binary())], names=["i", "s"])
-
-    found = common.stored(docs.join(ids.hint("merge"), "i", "left_semi").mapInArrow(run, "i long, s binary"), "jaccard-sets")
-    left, right = (found.select(F.col("i").alias(k), F.col("s").alias(f"s{k}")).hint("merge") for k in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    texts = shelf.put(docs.withColumn("k", _spot(F.col("i"))).mapInArrow(some, "i long, t string"), "jaccard-texts")
+    left, right = (texts.select(F.col("i").alias(k), F.col("t").alias(f"t{k}")).hint("merge") for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for s, t in zip(b.column("sa"), b.column("sb")):
-                x, y = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    common.session(spark, SET_ROWS)
-    out = common.stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "jaccard-links")
+            for part in common.pieces(b, "ta", PAIR_BYTES):
+                keep = []
+                for (_, xs), (_, ys) in zip(shingles.of_batch(part, "ta", size, 1 << 62), shingles.of_batch(part, "tb", size, 1 << 62)):
+                    keep += [_links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent) for x, y in zip(xs, ys)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    common.session(spark, PAIR_ROWS)
+    out = common.stored(both.mapInArrow(check, "a long, b long").distinct(), "jaccard-links")
     common.session(spark)
-    common.release(found)
+    shelf.close()
     common.tidy(spark)
     return out
 
@@ -254,85 +291,103 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     columns aren't read.
     """
     spark = common.session(docs.sparkSession)
+    shelf = common.Shelf()
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     known = base.filter("i IS NOT NULL")
-    wide = common.stored(_described(base, _levels(base, size), size, percent), "jaccard-prefixes")
-    all_rows = common.stored(wide.select("i", "n", "d", "p"), "jaccard-documents")
+    wide = shelf.put(_described(base, _levels(base, size), size, percent), "jaccard-prefixes")
+    all_rows = shelf.put(wide.select("i", "n", "d", "p", "k"), "jaccard-documents")
     rows = all_rows.filter("i IS NOT NULL AND n > 0")
+    sketches = rows.select("i", "n", "k")
 
-    reps = rows.groupBy("d").agg(F.min("i").alias("r"), F.first("n").alias("n"), F.first("p").alias("p"))
-    reps = common.stored(reps, "jaccard-classes")
+    reps = shelf.put(rows.groupBy("d").agg(F.min("i").alias("r"), F.first("n").alias("n"), F.first("p").alias("p")), "jaccard-classes")
     groups = reps.groupBy("p").agg(F.min("r").alias("g"), F.count("*").alias("m"))
-    members = common.stored(reps.join(groups, "p").select("g", F.col("r").alias("x"), F.col("n").cast("int").alias("n"), "m", "p"), "jaccard-groups")
+    members = shelf.put(reps.join(groups, "p").select("g", F.col("r").alias("x"), F.col("n").cast("int").alias("n"), "m", "p"), "jaccard-groups")
 
     # Rows that repeat an id and its text are leaders twice; their list rows are the same document's.
     first_of = members.filter("g = x").select("p", "g", (F.col("m") > 1).alias("m")).distinct()
-    leaders = common.stored(wide.filter("n > 0").join(first_of, "p").filter("i = g").select("g", "n", "x", "m"), "jaccard-leaders")
-    common.release(wide)
+    leaders = shelf.put(wide.select("i", "n", "p", "x").filter("n > 0").join(first_of, "p").filter("i = g").select("g", "n", "x", "m"), "jaccard-leaders")
+    shelf.drop(wide)
     common.tidy(spark)
     common.session(spark, 4_096)
-    lists = common.stored(_lists(leaders, percent), "jaccard-lists")
-    common.release(leaders)
+    lists = shelf.put(_lists(leaders, percent), "jaccard-lists")
+    common.session(spark)
+    shelf.drop(leaders)
     common.tidy(spark)
 
     # What chains and stars propose.
     proposed = lists.filter("a < b").select("a", "b").union(members.filter("x <> g").select(F.col("g").alias("a"), F.col("x").alias("b"))).distinct()
-    proposed = common.stored(proposed, "jaccard-proposed")
-    first = _verified(known, proposed, size, percent)
+    proposed = shelf.put(proposed, "jaccard-proposed")
+    first = shelf.take(_verified(known, proposed, sketches, size, percent))
     same_id = rows.select("i", "d").distinct().groupBy("i").agg(F.count("*").alias("k")).filter("k > 1").select("i")
-    twice = rows.join(same_id, "i").join(reps.select("d", "r"), "d").select(F.col("i").alias("a"), F.col("r").alias("b"))
+    twice = rows.select("i", "d").join(same_id, "i").join(reps.select("d", "r"), "d").select(F.col("i").alias("a"), F.col("r").alias("b"))
     links = first.union(twice)
-    root = common.components(links, "jaccard-roots")
+    root = shelf.take(common.components(links, "jaccard-roots"))
     common.tidy(spark)
 
     # What is left: members of different components that share a list or a group.
-    placed = common.stored(members.join(_named(root), "x", "left").select("g", "x", "n", "m", F.coalesce("root", "x").alias("c")), "jaccard-placed")
+    placed = shelf.put(members.join(_named(root), "x", "left").select("g", "x", "n", "m", F.coalesce("root", "x").alias("c")), "jaccard-placed")
     on_lists = lists.filter("a IS NULL").select("h", "g", "pos").join(placed.select("g", "x", "n", "c"), "g").select("h", "x", "n", "pos", "c")
     in_groups = placed.filter("m > 1").select(F.xxhash64("g").alias("h"), "x", "n", F.lit(0).alias("pos"), "c")
-    every = common.stored(on_lists.union(in_groups), "jaccard-all-spots")
-    common.release(lists)
-    mixed = _mixed(every)
+    every = shelf.put(on_lists.union(in_groups), "jaccard-all-spots")
+    shelf.drop(lists)
+    # Both sides are stored tables, so a hot list is split between tasks while the query runs.
+    mixed = shelf.put(_mixed(every), "jaccard-mixed-lists")
+    joined = shelf.put(every.join(mixed.hint("merge"), "h").select(F.xxhash64("m", "s", "t").alias("h"), "x", "pos", "n", "c", "top", "m"), "jaccard-mixed-spots")
     # Lists with the same members count as one, on which each has its first position.
-    spots = every.join(mixed, "h").groupBy(F.xxhash64("m", "s", "t").alias("h"), "x").agg(F.min("pos").alias("pos"), *[F.first(k).alias(k) for k in ("n", "c", "top", "m")])
-    spots = common.stored(spots, "jaccard-mixed")
-    common.release(every)
+    spots = shelf.put(joined.groupBy("h", "x").agg(F.min("pos").alias("pos"), *[F.first(k).alias(k) for k in ("n", "c", "top", "m")]), "jaccard-mixed")
+    shelf.drop(every, mixed, joined)
     common.tidy(spark)
 
     # Each member outside its list's largest component is tried with one member of it, another one in every list.
-    pick = spots.filter("c = top").groupBy("h").agg(F.min_by(F.struct("x", "n", "pos"), F.xxhash64("x", "h")).alias("p"))
-    tried = spots.filter("c <> top").join(pick, "h").filter(_fits("n", "pos", "p.n", "p.pos", percent))
-    tried = tried.select(F.least("x", "p.x").alias("a"), F.greatest("x", "p.x").alias("b")).distinct().join(proposed, ["a", "b"], "left_anti")
-    tried = common.stored(tried, "jaccard-tried")
+    pick = shelf.put(spots.filter("c = top").groupBy("h").agg(F.min_by(F.struct("x", "n", "pos"), F.xxhash64("x", "h")).alias("p")), "jaccard-picks")
+    outside = spots.filter("c <> top").join(pick.hint("merge"), "h").filter(_fits("n", "pos", "p.n", "p.pos", percent))
+    tried = outside.select(F.least("x", "p.x").alias("a"), F.greatest("x", "p.x").alias("b")).distinct().join(proposed, ["a", "b"], "left_anti")
+    tried = shelf.put(tried, "jaccard-tried")
     if tried.take(1):
-        links = links.union(_verified(known, tried, size, percent))
-        root = common.components(links, "jaccard-roots")
-        spots = spots.drop("c", "top", "m").join(_named(root), "x", "left").withColumn("c", F.coalesce("root", "x")).drop("root")
-        spots = common.stored(spots.join(_mixed(spots).select("h", "top", "m"), "h"), "jaccard-mixed")
+        links = links.union(shelf.take(_verified(known, tried, sketches, size, percent)))
+        root = shelf.take(common.components(links, "jaccard-roots"))
+        again = shelf.put(spots.drop("c", "top", "m").join(_named(root), "x", "left").withColumn("c", F.coalesce("root", "x")).drop("root"), "jaccard-again")
+        mixed = shelf.put(_mixed(again).select("h", "top", "m"), "jaccard-mixed-lists")
+        shelf.drop(spots)
+        spots = shelf.put(again.join(mixed.hint("merge"), "h"), "jaccard-mixed")
+        shelf.drop(again, mixed)
         common.tidy(spark)
 
     # All the rest is verified. On long lists a pair is made only on the first, in the order of shingles, that both are on.
     own = spots.filter(F.col("m") >= LONG_LIST).groupBy("x").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda s: s["h"]).alias("hs"))
-    spots = common.stored(spots.join(own, "x", "left").withColumn("hs", F.when((F.col("m") >= LONG_LIST) & (F.size("hs") <= MOST_LISTS), F.col("hs"))), "jaccard-spots")
+    spots = shelf.put(spots.join(own, "x", "left").withColumn("hs", F.when((F.col("m") >= LONG_LIST) & (F.size("hs") <= MOST_LISTS), F.col("hs"))), "jaccard-spots")
     a, b = spots.filter("c <> top").alias("a"), spots.alias("b")
     both = (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.top")) | (F.col("a.x") < F.col("b.x")))
     here = F.coalesce(F.array_intersect("a.hs", "b.hs")[0] == F.col("a.h"), F.lit(True))
     rest = a.join(b, both & _fits("a.n", "a.pos", "b.n", "b.pos", percent) & here).select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b")).distinct()
-    rest = common.stored(rest.join(proposed.union(tried), ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = shelf.put(rest.join(proposed.union(tried), ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.take(1):
-        root = common.components(links.union(_verified(known, rest, size, percent)), "jaccard-components")
+        root = shelf.take(common.components(links.union(shelf.take(_verified(known, rest, sketches, size, percent))), "jaccard-components"))
 
     with_rep = all_rows.select("i", "n", "d").join(reps.select("d", "r"), "d", "left")
     out = with_rep.join(root.withColumnRenamed("id", "r"), "r", "left")
     whole = F.when((F.col("n") == 0) | F.col("i").isNull(), F.col("i")).otherwise(F.coalesce("root", "r"))
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"))
+    out = common.stored(out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id")), "jaccard-result")
+    shelf.close()
+    return out
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stand for their component, all columns unchanged; found: link()'s rows.
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 2_000_000) -> DataFrame:
+    """The documents that stand for their component, all columns unchanged; found: link()'s rows, as a stored table.
 
-    Of rows with one id, one stays. Rows without an id stay.
+    Of rows with one id, the one with the least text stays, a null text being least; of equal texts any one. Rows
+    without an id stay; an empty table stays empty. The ids that go are broadcast up to most_broadcast of them, and
+    joined by a shuffle beyond.
     """
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    have = docs.filter(F.col(id_col).isNotNull())
-    one = have.join(kept, have[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    per_id = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("_stays"), F.count("*").alias("_n"))
+    per_id = common.stored(per_id.filter("_stays = 0 OR _n > 1"), "jaccard-going")
+    own = F.col(id_col).cast("long")
+    count = per_id.count()
+    going = per_id.select("_id")
+    out = docs.join(F.broadcast(going) if count <= most_broadcast else going, own == F.col("_id"), "left_anti")
+    if per_id.filter("_stays = 1").take(1):
+        several = docs.join(per_id.filter("_stays = 1").select("_id"), own == F.col("_id"))
+        row = F.struct(*docs.columns)
+        least = several.select("_id", F.struct(F.col(text_col).isNotNull(), F.col(text_col)).alias("_t"), row.alias("_row")).groupBy("_id").agg(F.min_by("_row", "_t").alias("_row"))
+        out = out.unionByName(least.select("_row.*"))
+    return out

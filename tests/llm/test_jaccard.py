@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from hypothesis import given
+from hypothesis import strategies as st
 
 from hustings.llm import jaccard, shingles
 
@@ -43,6 +45,24 @@ def test_shingles_match_sets():
     assert np.array_equal(shingles.sets(np.frombuffer(b"A B", np.uint8), np.array([0, 3]))[0], shingles.sets(np.frombuffer(b"a\tb", np.uint8), np.array([0, 3]))[0])
 
 
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(spark, docs, thue_morse):
+    texts = [w + " one two three four five" for bits in (11, 12) for w in thue_morse(bits)]
+    same(spark, docs(texts))
+    assert len({s[0].tobytes() for t in texts for s in [shingles.sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))]}) == 4
+
+
+@given(st.lists(st.integers(0, 40), max_size=300), st.lists(st.integers(0, 40), max_size=300))
+def test_a_sketch_never_counts_fewer_than_are_shared(a, b):
+    one, two = (np.array(sorted({x * 0x9E3779B97F4A7C15 % 2**64 for x in v}), np.uint64) for v in (a, b))
+    got = jaccard.most_shared(jaccard._sketch(one), len(one), jaccard._sketch(two), len(two))
+    assert len(np.intersect1d(one, two)) <= got <= min(len(one), len(two))
+
+
+def test_a_sketch_of_one_crowded_bucket():
+    x = np.arange(1, 70_001, dtype=np.uint64) << np.uint64(40)
+    assert jaccard.most_shared(jaccard._sketch(x), len(x), jaccard._sketch(x[:60_000]), 60_000) == 60_000
+
+
 def test_edges(spark, edge_docs):
     same(spark, edge_docs)
 
@@ -89,3 +109,10 @@ def test_keep_one(spark, edge_docs):
     for r in kept.collect():
         by[r.doc_id] += 1
     assert set(by.values()) == {1} and None in by and 7 not in by and 6 in by
+
+
+def test_keep_one_of_rows_with_one_id_takes_the_least_text(spark, docs):
+    rows = docs(["b b b", "x y z"], first=1).union(docs(["a a a"], first=1)).union(docs([None], first=2))
+    for most in (2_000_000, 0):
+        kept = jaccard.keep_one(rows, jaccard.link(rows), most_broadcast=most)
+        assert sorted((r.doc_id, str(r.text)) for r in kept.collect()) == [(1, "a a a"), (2, "None")]
