@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -19,40 +20,47 @@ BOUND = r"(?:[\s,.·、，]+|\z)"
 GENERIC = r"[가-힣]{2,4}"
 GUESS_AFTER_TITLE = rf"^({GENERIC}){BRACKETS}(?:[\s,.·]+|\z)"
 GUESS_BEFORE_TITLE = rf"^({GENERIC}){BRACKETS}[\s,·]*({TITLE}){BRACKETS}{BOUND}"
-#: Characters of a chunk that a header is looked for in first; every pattern is anchored, and a header that reaches the
-#: cut is looked for in the whole chunk.
-HEAD = 160
+#: Stands between the parts of a parsed header; no header begins with it.
+_MARK = "\x01"
 
 
-def names_pattern(names: Iterable[str]) -> str:
-    """Any of the names, longest first, with white space between letters or not; nothing when there are none."""
-    known = sorted({n for n in names if n and len(n) >= 2}, key=lambda n: (-len(n), n))
-    return f"(?:{'|'.join(map(tx.spaced, known))})" if known else r"(?!)"
+def _branches(node: dict) -> str:
+    """A pattern for what may follow a node of the names' trie, the longest name first."""
+    more = "|".join(re.escape(ch) + _branches(child) for ch, child in sorted(node.items()) if ch)
+    if not more:
+        return ""
+    return rf"(?:\s*(?:{more}))" + ("?" if "" in node else "")
 
 
-def _first(c: Column, *tries: tuple[str, int]) -> Column:
-    """The first of some extractions that isn't empty, or ''."""
-    return F.coalesce(*[tx.extract(c, p, g) for p, g in tries], F.lit(""))
+def names_pattern(names: Iterable[str]) -> str:
+    """Any of the names, longest first, with white space between letters or not; nothing when there are none.
+
+    Names that begin alike share their beginning, so a name is looked for letter by letter however many there are.
+    """
+    root: dict = {}
+    for name in names:
+        if name and len(name) >= 2:
+            node = root
+            for ch in name:
+                node = node.setdefault(ch, {})
+            node[""] = {}
+    return "(?:" + "|".join(re.escape(ch) + _branches(child) for ch, child in sorted(root.items())) + ")" if root else r"(?!)"
 
 
 def parse(rows: DataFrame, names: Iterable[str], chunk: str = "Speech_Chunk") -> DataFrame:
-    """Adds Title_Role, Speaker and Speech: title and known name in either order, title alone, or known name alone."""
+    """Adds Title_Role, Speaker and Speech: title and known name in either order, title alone, or known name alone.
+
+    One pass over the whole chunk takes it apart, whatever stands between the parts; a chunk whose title is also a
+    known name has both. A null chunk gives nulls in Speech and '' elsewhere.
+    """
     name, part = names_pattern(names), BRACKETS + BOUND
-    both, turned = f"^({TITLE}){BRACKETS}{SEPARATOR}({name}){part}", f"^({name}){BRACKETS}{SEPARATOR}({TITLE}){part}"
-    title, alone = f"^({TITLE}){part}", f"^({name}){part}"
-    removal = f"^(?:{TITLE}{BRACKETS}{SEPARATOR}{name}{part}|{name}{BRACKETS}{SEPARATOR}{TITLE}{part}|{TITLE}{part}|{name}{part})"
+    header = f"^(?:({TITLE}){BRACKETS}{SEPARATOR}({name}){part}|({name}){BRACKETS}{SEPARATOR}({TITLE}){part}|({TITLE}){part}|({name}){part})"
     c = F.col(chunk)
-    head = F.substring(c, 1, HEAD)
-    # The whole chunk is read only where the header found in its head ends at the cut.
-    c = F.when((F.char_length(c) > HEAD) & (F.char_length(F.regexp_extract(head, "(?U)" + removal, 0)) < HEAD), head).otherwise(c)
-    out = rows.withColumn("_head", c)
-    h = F.col("_head")
-    length = F.char_length(F.regexp_extract(h, "(?U)" + removal, 0))
-    return out.withColumns({
-        "Title_Role": _first(h, (both, 1), (turned, 2), (title, 1)),
-        "Speaker": tx.replace(_first(h, (both, 2), (turned, 1), (alone, 1)), r"\s+"),
-        "Speech": tx.strip(F.substring(F.col(chunk), length + 1, F.lit(2_000_000_000))),
-    }).drop("_head")
+    apart = F.split(tx.replace(c, header + r"([\s\S]*)", rf"{_MARK}$1$4$5{_MARK}$2$3$6{_MARK}$7"), _MARK, 4)
+    out = rows.withColumn("_parts", F.when(~c.startswith(_MARK), apart)).withColumn("_parts", F.when(F.size("_parts") == 4, F.col("_parts")))
+    title, who = (F.coalesce(F.col("_parts")[k], F.lit("")) for k in (1, 2))
+    alone = F.when((title != "") & (who == ""), F.coalesce(tx.extract(c, f"^({name}){part}"), F.lit(""))).otherwise(who)
+    return out.withColumns({"Title_Role": title, "Speaker": tx.replace(alone, r"\s+"), "Speech": tx.strip(F.when(F.col("_parts").isNotNull(), F.col("_parts")[3]).otherwise(c))}).drop("_parts")
 
 
 def guess(rows: DataFrame) -> DataFrame:
@@ -125,7 +133,7 @@ def ledger(chunks: DataFrame, roster_names: Iterable[str], extra_names: Iterable
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:
-    """Counts of named, unmatched, title-only and flagged rows, and shares of sources."""
+    """Counts of all, named, unmatched, title-only and flagged rows."""
     part = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return rows.agg(
         F.count("*").alias("speeches"), part(F.col("Speaker") != "").alias("named"), part((F.col("Speaker") == "") & (F.col("Title_Role") == "")).alias("unmatched"),
@@ -133,3 +141,19 @@ def diagnostics(rows: DataFrame) -> DataFrame:
     )
 
 
+def source_shares(rows: DataFrame, source: str = "Speaker_Source", digits: int = 2) -> DataFrame:
+    """(source, speeches, percent) of the places that speakers' names come from."""
+    every = rows.agg(F.count("*")).scalar()
+    return rows.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("speeches")).withColumn("percent", F.round(100.0 * F.col("speeches") / every, digits))
+
+
+def join_diagnostics(rows: DataFrame, speaker: str = "Speaker", party: str = "Party", title: str = "Title_Role", chunk: str = "Speech_Chunk", unknown: str = lx.UNKNOWN_OR_OFFICER) -> DataFrame:
+    """One row: named rows, those of them without a party in the roster, rows with a title alone, and named rows whose
+    name was written with white space between its letters."""
+    part = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    named = F.coalesce(F.col(speaker), F.lit("")) != ""
+    whole = F.contains(F.col(chunk), F.col(speaker))
+    return rows.agg(
+        part(named).alias("named"), part(named & (F.coalesce(F.col(party), F.lit(unknown)) == unknown)).alias("without_party"),
+        part(~named & (F.coalesce(F.col(title), F.lit("")) != "")).alias("title_only"), part(named & ~whole).alias("spaced_names"),
+    )

@@ -1,9 +1,11 @@
 import math
+import re
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hustings.functions import lexicons as lx
 from hustings.functions import text as tx
 from hustings.operators import headers, keywords, turns
 from hustings.plans import text_queries
@@ -34,10 +36,33 @@ def test_headers(parsed, k):
     assert not parsed[k].Residual_Header_Flag
 
 
-def test_header_beyond_the_head(spark):
-    chunk = "의장" + " " * 300 + "이승만 " + "말씀 " * 10
+@pytest.mark.parametrize(("chunk", "title", "name", "speech"), [
+    ("의장" + " " * 300 + "이승만 " + "말씀 " * 10, "의장", "이승만", ("말씀 " * 10).strip()),
+    ("이" + " " * 200 + "승만 말씀", "", "이승만", "말씀"),
+    ("의장" + ":" * 200 + "이승만 말씀", "의장", "이승만", "말씀"),
+    ("의장 이승만 말씀\n둘째 줄 " + "가" * 3000, "의장", "이승만", "말씀\n둘째 줄 " + "가" * 3000),
+    ("\x01의장 말씀", "", "", "\x01의장 말씀"),
+    ("의장 말\x01씀\x01", "의장", "", "말\x01씀\x01"),
+    ("의장", "의장", "", ""),
+    ("", "", "", ""),
+    (None, "", "", None),
+])
+def test_headers_of_any_length(spark, chunk, title, name, speech):
     got = headers.parse(spark.createDataFrame([(chunk,)], "Speech_Chunk string"), NAMES).first()
-    assert (got.Title_Role, got.Speaker, got.Speech) == ("의장", "이승만", ("말씀 " * 10).strip())
+    assert (got.Title_Role, got.Speaker, got.Speech) == (title, name, speech)
+
+
+def test_a_title_that_is_also_a_name(spark):
+    got = headers.parse(spark.createDataFrame([("의장 말씀",)], "Speech_Chunk string"), ["의장"]).first()
+    assert (got.Title_Role, got.Speaker, got.Speech) == ("의장", "의장", "말씀")
+
+
+@given(st.sets(st.text("이승만인조", min_size=2, max_size=4), min_size=1, max_size=12), st.text("이승만인조 ", max_size=8))
+def test_the_names_trie_is_the_alternation_longest_first(names, text):
+    plain = "|".join(tx.spaced(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    for after in (r"", r"(?=\s|\Z)", r"조"):
+        one, two = (re.match(f"(?:{p}){after}", text) for p in (headers.names_pattern(names), plain))
+        assert (one and one[0]) == (two and two[0])
 
 
 def test_no_names(spark):
@@ -45,36 +70,25 @@ def test_no_names(spark):
     assert (got.Title_Role, got.Speaker, got.Speech) == ("의장", "", "이승만 말씀")
 
 
-def model(counter, min_count=3, share=0.03, concentration=0.7):
-    """Names of one role, worked out in plain Python."""
-    total, out = sum(counter.values()), {}
-    for p2 in sorted({s[:2] for s in counter if len(s) >= 2}):
-        n = sum(c for s, c in counter.items() if s.startswith(p2))
-        if n < min_count or n / total < share or not all("가" <= ch <= "힣" for ch in p2):
-            continue
-        name = p2
-        while len(name) < (4 if p2 in lx.COMPOUND_SURNAMES else 3):
-            nxt = {}
-            for s, c in counter.items():
-                if s.startswith(name) and len(s) > len(name):
-                    nxt[s[len(name)]] = nxt.get(s[len(name)], 0) + c
-            if not nxt:
-                break
-            ch = min(nxt, key=lambda x: (-nxt[x], x))
-            if nxt[ch] / sum(nxt.values()) < concentration or not "가" <= ch <= "힣":
-                break
-            name += ch
-        if name not in lx.STOPWORDS:
-            out[name] = (n, sum(s.startswith(p2) for s in counter))
-    return out
-
-
-@pytest.mark.parametrize("counter", [
-    {**{f"이인{x}": 1 for x in "요시법지국"}, "송방용지금": 2, "송방용오늘": 1}, {"이인국적법": 3, "이인지금질": 12}, {"남궁억지금": 3, "남궁억말씀": 2}, {"남궁억": 9}, {"그러면다음": 5}, {"가": 9, "ab말씀": 5}, {"송방용지": 2},
-])
-def test_name_learning(spark, counter):
+#: Counts of residuals, and by hand the names with the counts of their beginnings and of different residuals.
+LEARNED = [
+    ({**{f"이인{x}": 1 for x in "요시법지국"}, "송방용지금": 2, "송방용오늘": 2}, {"이인": (5, 5), "송방용": (4, 2)}),  # no letter prevails after 이인
+    ({"이인국적법": 3, "이인지금질": 12}, {"이인지": (15, 2)}),  # one does in four of five
+    ({"남궁억지금": 3, "남궁억말씀": 2}, {"남궁억": (5, 2)}),  # a fourth letter must prevail too
+    ({"남궁억수": 7, "남궁억지": 2}, {"남궁억수": (9, 2)}),  # and may for a surname of two syllables
+    ({"김철수오": 9}, {"김철수": (9, 1)}),  # but for no other
+    ({"남궁억": 9}, {"남궁억": (9, 1)}),
+    ({"그러면다음": 5}, {}),  # a stop word
+    ({"가": 9, "ab말씀": 5}, {}),  # too short, no Hangul
+    ({"송방용지": 2}, {}),  # too rare
+    ({"송방용지": 3, "이인국적": 147}, {"이인국": (147, 1)}),  # 3 of 150 is too small a share
+]
+
+
+@pytest.mark.parametrize(("counter", "names"), LEARNED)
+def test_name_learning(spark, counter, names):
     rows = spark.createDataFrame([(1, "장관", s, n) for s, n in counter.items()], "term int, role string, residual string, n int")
-    assert {r.name: (r.n, r.distinct_residuals) for r in headers.learn(rows).collect()} == model(counter)
+    assert {r.name: (r.n, r.distinct_residuals) for r in headers.learn(rows).collect()} == names
 
 
 def test_ledger_learns_and_reparses(spark):
