@@ -32,21 +32,35 @@ def ledger_counts(rows: DataFrame, groups: Mapping[str, tuple[str, Sequence[str]
 
 def found_keywords(text: Column, keywords: Sequence[str]) -> Column:
     """The keywords that a text holds, in the lexicon's order; a term inside a longer one counts too."""
-    return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(text, k))
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in keywords]))
+
+
+def hits(rows: DataFrame, keep: Sequence[str], lexicon: Mapping[str, Mapping[str, Sequence[str]]] = lx.TAGGER, content: str = "Content") -> DataFrame:
+    """(keep, words, families): the keywords and the families that a text holds, as arrays in the lexicon's order. Every
+    text is read once; what is counted by keyword or family afterwards needs no text."""
+    families = {f: ks for fs in lexicon.values() for f, ks in fs.items()}
+    bare = rows.select(*keep, tx.bare(F.coalesce(F.col(content), F.lit(""))).alias("_bare"))
+    found = bare.select(*keep, F.struct(*[found_keywords(F.col("_bare"), ks).alias(f"f{k}") for k, ks in enumerate(families.values())]).alias("_hits"))
+    each = [F.col(f"_hits.f{k}") for k in range(len(families))]
+    names = F.array_compact(F.array(*[F.when(F.size(e) > 0, F.lit(f)) for e, f in zip(each, families)]))
+    return found.select(*keep, F.concat(*each).alias("words"), names.alias("families"))
 
 
 def tag(rows: DataFrame, lexicon: Mapping[str, Mapping[str, Sequence[str]]] = lx.TAGGER, content: str = "Content", sep: str = "; ") -> DataFrame:
     """For each discourse d: d담론 (예 or 아니오), d계열, d키워드, d키워드수; and 담론분류."""
     rows = rows.withColumn("_bare", tx.bare(F.coalesce(F.col(content), F.lit(""))))
+    each = {(d, f): found_keywords(F.col("_bare"), ks) for d, families in lexicon.items() for f, ks in families.items()}
+    names = {key: f"_hits_{k}" for k, key in enumerate(each)}
+    rows = rows.withColumns({names[key]: c for key, c in each.items()}).drop("_bare")
     made, hit = {}, []
     for d, families in lexicon.items():
-        words = found_keywords(F.col("_bare"), [k for ks in families.values() for k in ks])
-        per = [F.when(F.size(found_keywords(F.col("_bare"), ks)) > 0, F.lit(f)) for f, ks in families.items()]
+        words = F.concat(*[F.col(names[d, f]) for f in families])
+        per = [F.when(F.size(names[d, f]) > 0, F.lit(f)) for f in families]
         made |= {f"{d}담론": F.when(F.size(words) > 0, "예").otherwise("아니오"), f"{d}계열": F.array_join(F.array_compact(F.array(*per)), sep), f"{d}키워드": F.array_join(words, sep), f"{d}키워드수": F.size(words).cast("string")}
         hit.append((d, F.size(words) > 0))
     (a, in_a), (b, in_b) = hit
     made["담론분류"] = exclusive(in_a, in_b, (a, b, f"{a}+{b}", lx.CLASSES[3]))
-    return rows.withColumns(made).drop("_bare")
+    return rows.withColumns(made).drop(*names.values())
 
 
 def exclusive(first: Column, second: Column, names: Sequence[str] = lx.CLASSES) -> Column:

@@ -85,7 +85,7 @@ def ledger_counts(spark, sf_dir):
 
 @register("chunk_split", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) AS INT) AS Speech_Seq, md5(c) AS digest FROM (SELECT doc_id, p, trim(list_extract(l, p), chr(32) || chr(9) || chr(10) || chr(13)) AS c FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents))) WHERE c <> ''")
 def chunk_split(spark, sf_dir):
-    rows = turns.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", mark=r"\. ")
+    rows = turns.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", mark=r"\. ", titles_differ=True)
     return rows.select("doc_id", "Speech_Seq", F.md5("Speech_Chunk").alias("digest"))
 
 
@@ -101,6 +101,23 @@ def turn_segments(spark, sf_dir):
     return turns.segments(docs, ["doc_id"], "text", mark="Th").select("doc_id", "seq", "type")
 
 
+_THIRD = "array_to_string(list_slice(string_split(w, ' '), 3, 1000000), ' ')"
+
+
+@register("turn_texts", f"""
+WITH lines AS (SELECT doc_id, p, regexp_replace(list_extract(l, p), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+k AS (SELECT *, CASE WHEN s LIKE 'Th%' THEN 'turn' WHEN regexp_matches(s, '^\\(.*\\)$') THEN 'note' WHEN regexp_matches(s, '^[0-9]+[.)]\\s*\\S') THEN 'item' END AS kind FROM lines WHERE s <> ''),
+o AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS open FROM k),
+q AS (SELECT *, regexp_replace(substr(s, 3), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') AS w, CAST(sum(CASE WHEN kind IS NOT NULL OR coalesce(open, '') <> 'turn' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS INT) AS seq FROM o),
+r AS (SELECT *, CASE kind WHEN 'turn' THEN {_THIRD} WHEN 'note' THEN regexp_replace(s, '^\\(\\s*|\\s*\\)$', '', 'g') ELSE s END AS part, CASE kind WHEN 'turn' THEN array_to_string(list_slice(string_split(w, ' '), 1, 2), ' ') ELSE '' END AS who FROM q)
+SELECT doc_id, seq, max(who) AS speaker, md5(coalesce(string_agg(part, ' ' ORDER BY p) FILTER (part <> ''), '')) AS digest FROM r GROUP BY doc_id, seq
+""")
+def turn_texts(spark, sf_dir):
+    """Speakers and what they say, beside the types of turn_segments."""
+    rows = turns.segments(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", mark="Th")
+    return rows.select("doc_id", "seq", "speaker", F.md5("content").alias("digest"))
+
+
 _TITLE = "'제' || (o_orderkey % 6 + 1) || '대국회 제' || (o_orderkey % 30) || '회(임시회) 제' || (o_orderkey % 12) || '차 국회본회의(전체회의) (' || strftime(o_orderdate, '%Y.%m.%d.') || ')'"
 
 
