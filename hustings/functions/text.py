@@ -179,6 +179,18 @@ def file_title_date(name: Column) -> tuple[Column, Column]:
     return F.when(iso.isNull(), base).otherwise(title), F.coalesce(iso, F.lit(""))
 
 
+def attachment_name(header: Column) -> Column:
+    """The file name of a Content-Disposition header: the encoded one, percent signs resolved, else the plain one."""
+    plain = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    encoded = extract(header, r"(?i)filename\*=UTF-8''([^;]+)")
+    return F.coalesce(plain(encoded), plain(extract(header, r'(?i)filename="?([^";]+)"?')))
+
+
+def safe_name(c: Column) -> Column:
+    """A text as a file name: each run of signs that file systems keep for themselves as one underscore."""
+    return F.regexp_replace(c, r'[\\/:*?"<>|]+', "_")
+
+
 def speech_id(term_no: Column, date: Column, session: Column, sitting: Column, seq: Column) -> Column:
     """term-date-S000-M000-0000; null without a term or number, zeros for a missing date, session or sitting."""
     pad = lambda c, n: F.format_string(f"%0{n}d", c.cast("long"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,28 @@ def kappa(rows: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     return out.select(*by, "n", "agreement", F.when(F.abs(1 - pe) >= 1e-12, (F.col("agreement") - pe) / (1 - pe)).alias("kappa"))
 
 
+def kappa_pairs(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, n, agreement, kappa) for every pair of annotators' columns; pairs without common labels have no row."""
+    whole = None
+    for a, b in combinations(columns, 2):
+        one = kappa(rows, a, b, by).select(F.lit(a).alias("a"), F.lit(b).alias("b"), *by, "n", "agreement", "kappa")
+        whole = one if whole is None else whole.unionByName(one)
+    if whole is None:
+        raise ValueError("two annotators are needed")
+    return whole
+
+
+def mean_kappa(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, pairs, kappa): the mean over pairs whose kappa is defined."""
+    return pairs.groupBy(by).agg(F.count("kappa").alias("pairs"), F.avg("kappa").alias("kappa"))
+
+
+def disagreements(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows, whole, whose two labels differ; a blank label differs from any other."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return rows.filter(blank(a) != blank(b))
+
+
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """The share of rows with equal values, blanks being values too."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

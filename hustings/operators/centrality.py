@@ -1,93 +1,118 @@
 """Centrality and communities of graphs whose nodes fit a worker; a larger graph is an error, never a sample.
 
 Strength and degree are aggregates. Paths are counted source by source: sources are dealt over tasks, each with the
-whole adjacency, and their partial sums are added up.
+whole adjacency as three arrays, and their partial sums are added up. MOST_EDGES edges are 120 MB there. Eigenvectors
+and communities take one pass after the other over these arrays on the driver.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hustings.plans.session import ship
 
-from .network import symmetric
+from .network import ego, symmetric
 
 #: Edges that a worker may hold.
 MOST_EDGES = 5_000_000
 
 
 class Graph:
-    """Names in order, and for each node its neighbours and weights."""
+    """Names in order; node v's neighbours and weights are near[at[v] : at[v + 1]] and weight[at[v] : at[v + 1]]."""
 
-    def __init__(self, edges: list[tuple[str, str, float]], nodes: list[str] = ()):
-        self.names = sorted({*nodes, *(e[0] for e in edges), *(e[1] for e in edges)})
-        at = {n: k for k, n in enumerate(self.names)}
-        self.near: list[list[int]] = [[] for _ in self.names]
-        self.weight: list[list[float]] = [[] for _ in self.names]
-        for a, b, w in sorted(edges):
-            for x, y in ((at[a], at[b]), (at[b], at[a])):
-                self.near[x].append(y)
-                self.weight[x].append(float(w))
+    def __init__(self, src: Sequence[str], dst: Sequence[str], weight: Sequence[float], nodes: Sequence[str] = ()):
+        ends = [np.array(list(x), dtype=object) for x in (src, dst)]
+        self.names: list[str] = sorted({*nodes, *ends[0], *ends[1]})
+        place = {n: k for k, n in enumerate(self.names)}
+        a, b = (np.fromiter((place[n] for n in x), np.int32, len(x)) for x in ends)
+        w = np.asarray(weight, np.float64)
+        source, target = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((target, source))
+        self.near, self.weight = target[order], np.concatenate([w, w])[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(self.names)))]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(self.names)), np.diff(self.at))
 
 
 def collected(edges: DataFrame, nodes: DataFrame | None = None) -> Graph:
     """The graph on the driver; ValueError beyond MOST_EDGES."""
-    rows = edges.select("src", "dst", F.col("weight").cast("double")).limit(MOST_EDGES + 1).collect()
+    rows = edges.select("src", "dst", F.col("weight").cast("double")).limit(MOST_EDGES + 1).toArrow()
     extra = [r[0] for r in nodes.limit(MOST_EDGES + 1).collect()] if nodes is not None else []
-    if max(len(rows), len(extra)) > MOST_EDGES:
+    if max(rows.num_rows, len(extra)) > MOST_EDGES:
         raise ValueError(f"the graph has more than {MOST_EDGES} edges or nodes")
-    return Graph([tuple(r) for r in rows], extra)
+    return Graph(rows["src"].to_pylist(), rows["dst"].to_pylist(), rows["weight"].to_numpy(), extra)
 
 
 def strength(edges: DataFrame) -> DataFrame:
     """(node, degree, strength, degree_centrality, mean_strength); the last two over n - 1."""
     by = symmetric(edges).groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
-    others = F.count("*").over(Window.partitionBy()) - 1
+    others = by.agg(F.count("*")).scalar() - 1
     return by.withColumns({"degree_centrality": F.try_divide(F.col("degree").cast("double"), others), "mean_strength": F.try_divide(F.col("strength").cast("double"), others)})
 
 
+def _spread(g: Graph, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of all arcs from some nodes: (which of the nodes, neighbour)."""
+    count = g.at[nodes + 1] - g.at[nodes]
+    which = np.repeat(np.arange(len(nodes)), count)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return which, g.near[np.repeat(g.at[nodes], count) + within]
+
+
+def _levels(g: Graph, s: int) -> tuple[np.ndarray, float, int]:
+    """from_source without weights: whole levels of the breadth-first search at a time."""
+    n = len(g.names)
+    dist, paths, share = np.full(n, -1), np.zeros(n), np.zeros(n)
+    dist[s], paths[s] = 0, 1.0
+    levels = [np.array([s])]
+    while len(levels[-1]):
+        which, to = _spread(g, levels[-1])
+        dist[to[dist[to] < 0]] = len(levels)
+        onward = dist[to] == len(levels)
+        paths += np.bincount(to[onward], paths[levels[-1]][which[onward]], n)
+        levels.append(np.unique(to[onward]))
+    for k in range(len(levels) - 2, 0, -1):
+        which, to = _spread(g, levels[k])
+        back = dist[to] == k - 1
+        own = levels[k][which[back]]
+        share += np.bincount(to[back], paths[to[back]] / paths[own] * (1 + share[own]), n)
+    share[s] = 0
+    reached = dist >= 0
+    return share, float(dist[reached].sum()), int(reached.sum())
+
+
 def from_source(g: Graph, s: int, weighted: bool) -> tuple[np.ndarray, float, int]:
     """Brandes' dependencies of one source, the sum of distances from it and the nodes reached; distance is 1 / weight."""
+    if not weighted:
+        return _levels(g, s)
     n = len(g.names)
     dist, paths, order = np.full(n, np.inf), np.zeros(n), []
     before: list[list[int]] = [[] for _ in range(n)]
     dist[s], paths[s] = 0.0, 1.0
-    if weighted:
-        done, heap = np.zeros(n, bool), [(0.0, s)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if done[v]:
-                continue
-            done[v] = True
-            order.append(v)
-            for u, w in zip(g.near[v], g.weight[v]):
-                to = d + 1 / w
-                if not done[u] and to < dist[u] - 1e-12 * max(1.0, to):
-                    dist[u], paths[u], before[u] = to, paths[v], [v]
-                    heapq.heappush(heap, (to, u))
-                elif not done[u] and abs(to - dist[u]) <= 1e-12 * max(1.0, to):
-                    paths[u] += paths[v]
-                    before[u].append(v)
-    else:
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for u in g.near[v]:
-                if dist[u] == np.inf:
-                    dist[u] = dist[v] + 1
-                    queue.append(u)
-                if dist[u] == dist[v] + 1:
-                    paths[u] += paths[v]
-                    before[u].append(v)
+    done, heap = np.zeros(n, bool), [(0.0, s)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        if done[v]:
+            continue
+        done[v] = True
+        order.append(v)
+        own = slice(g.at[v], g.at[v + 1])
+        near = g.near[own]
+        to = d + 1 / g.weight[own]
+        slack = 1e-12 * np.maximum(1.0, to)
+        closer = ~done[near] & (to < dist[near] - slack)
+        equal = ~done[near] & ~closer & (np.abs(to - dist[near]) <= slack)
+        for u, t in zip(near[closer].tolist(), to[closer].tolist()):
+            dist[u], paths[u], before[u] = t, paths[v], [v]
+            heapq.heappush(heap, (t, u))
+        for u in near[equal].tolist():
+            paths[u] += paths[v]
+            before[u].append(v)
     share = np.zeros(n)
     for v in reversed(order):
         for u in before[v]:
@@ -125,37 +150,70 @@ def eigenvector(edges: DataFrame, weighted: bool = False, rounds: int = 200) ->
     """(node, eigenvector): power iteration on A + 1 from equal values, unit length, so all are non-negative. On a graph
     of several components the one of largest eigenvalue prevails."""
     g = collected(edges)
-    x = np.full(len(g.names), 1.0)
-    for _ in range(rounds if len(x) else 0):
-        now = x + np.array([sum((w if weighted else 1.0) * x[u] for u, w in zip(near, ws)) for near, ws in zip(g.near, g.weight)])
+    n = len(g.names)
+    x, weight = np.full(n, 1.0), g.weight if weighted else np.ones(len(g.weight))
+    for _ in range(rounds if n else 0):
+        now = x + np.bincount(g.owner, weight * x[g.near], n)
         now /= np.linalg.norm(now)
         if np.abs(now - x).max() < 1e-12:
             break
         x = now
-    return edges.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(g.names, x)], "node string, eigenvector double")
+    return edges.sparkSession.createDataFrame([(name, float(v)) for name, v in zip(g.names, x)], "node string, eigenvector double")
+
+
+def ranks(table: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Adds <metric>_rank, largest first, equal values sharing the smaller rank. A rank needs one order over all rows,
+    which takes one task: the table has a row for each node of a graph that fits a worker."""
+    return table.withColumns({f"{m}_rank": F.rank().over(Window.orderBy(F.desc(m))).cast("long") for m in metrics})
 
 
-def ranks(table: DataFrame, metrics: list[str]) -> DataFrame:
-    """Adds <metric>_rank, largest first, equal values sharing the smaller rank."""
-    return table.withColumns({f"{m}_rank": F.rank().over(Window.orderBy(F.desc(m))) for m in metrics})
+#: The metrics of centrality_table that are ranked.
+METRICS = ("degree_centrality", "strength", "betweenness", "weighted_betweenness", "closeness", "weighted_closeness", "eigenvector", "weighted_eigenvector")
 
 
-def modularity(g: Graph, label: list[int], resolution: float = 1.0) -> float:
-    two_m = sum(map(sum, g.weight))
-    inside = sum(w for v in range(len(label)) for u, w in zip(g.near[v], g.weight[v]) if label[u] == label[v])
-    sums: dict[int, float] = {}
-    for v in range(len(label)):
-        sums[label[v]] = sums.get(label[v], 0.0) + sum(g.weight[v])
-    return inside / two_m - resolution * sum(s * s for s in sums.values()) / two_m**2 if two_m else 0.0
+def centrality_table(edges: DataFrame, nodes: DataFrame, node: str = "node", order: Sequence[Column] = ()) -> DataFrame:
+    """nodes with all metrics and their eight ranks, weighted betweenness, strength and `order` first. Nodes without an
+    edge have zeros."""
+    named = nodes.withColumnRenamed(node, "node")
+    out = named.join(strength(edges), "node", "left")
+    for weighted, name in ((False, ""), (True, "weighted_")):
+        out = out.join(paths(edges, weighted, named.select("node")).withColumnsRenamed({"betweenness": f"{name}betweenness", "closeness": f"{name}closeness"}), "node", "left")
+        out = out.join(eigenvector(edges, weighted).withColumnRenamed("eigenvector", f"{name}eigenvector"), "node", "left")
+    out = out.na.fill(0, ["degree", *METRICS, "mean_strength"])
+    return ranks(out, METRICS).orderBy(F.desc("weighted_betweenness"), F.desc("strength"), *order, "node")
+
+
+def ego_networks(edges: DataFrame, table: DataFrame, metrics: Sequence[str] = METRICS, n: int = 12) -> DataFrame:
+    """(metric, centre, src, dst, weight): the ego network of each metric's first node, the least of equal ones."""
+    firsts = table.agg(*[F.min_by("node", F.struct(-F.col(m), F.col("node"))).alias(m) for m in metrics]).first().asDict()
+    whole = None
+    for m, centre in firsts.items():
+        if centre is not None:
+            one = ego(edges, centre, n).select(F.lit(m).alias("metric"), F.lit(centre).alias("centre"), "src", "dst", "weight")
+            whole = one if whole is None else whole.unionByName(one)
+    return edges.select(F.lit("").alias("metric"), F.lit("").alias("centre"), "src", "dst", "weight").limit(0) if whole is None else whole
+
+
+def speaker_nodes(edges: DataFrame, speakers: DataFrame, speaker: str, *attributes: str) -> DataFrame:
+    """(id, attributes, degree, strength): the speakers that an edge touches, as a node table beside an edge table."""
+    return speakers.select(F.col(speaker).alias("id"), *attributes).join(strength(edges).select(F.col("node").alias("id"), "degree", "strength"), "id")
+
+
+def modularity(g: Graph, label: Sequence[int], resolution: float = 1.0) -> float:
+    label, two_m = np.asarray(label, np.int64), g.weight.sum()
+    if not two_m:
+        return 0.0
+    inside = g.weight[label[g.owner] == label[g.near]].sum()
+    sums = np.bincount(label[g.owner], g.weight)
+    return float(inside / two_m - resolution * (sums * sums).sum() / two_m**2)
 
 
 def louvain(g: Graph, resolution: float = 1.0) -> list[int]:
     """A label for each node: nodes in order move to the neighbouring community of best gain, the smaller on ties,
     then communities become nodes, until nothing moves."""
     near = [dict() for _ in g.names]
-    for v in range(len(g.names)):
-        for u, w in zip(g.near[v], g.weight[v]):
-            near[v][u] = near[v].get(u, 0.0) + w
+    for v, u, w in zip(g.owner.tolist(), g.near.tolist(), g.weight.tolist()):
+        near[v][u] = near[v].get(u, 0.0) + w
     two_m = sum(sum(d.values()) for d in near)
     label = list(range(len(near)))
     while two_m:
@@ -200,3 +258,11 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     order = sorted(groups.values(), key=lambda m: (-len(m), min(m)))
     rows = [(name, k, len(m)) for k, m in enumerate(order, 1) for name in m]
     return edges.sparkSession.createDataFrame(rows, "node string, community int, size int")
+
+
+def community_summary(found: DataFrame, edges: DataFrame, members: int = 3) -> DataFrame:
+    """(community, size, members): communities() with the strongest members of each, the least name first on ties."""
+    by = found.join(strength(edges).select("node", "strength"), "node", "left").withColumn("strength", F.coalesce("strength", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("strength"), "node"))
+    best = by.withColumn("_r", rank).filter(F.col("_r") <= members)
+    return best.groupBy("community", "size").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "node"))), lambda x: x["node"]), "; ").alias("members"))

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import graph_queries, text_queries, value_queries  # noqa: F401
+    from . import fixture_queries, graph_queries, table_queries, text_queries, value_queries  # noqa: F401
 
     return dict(_QUERIES)
 

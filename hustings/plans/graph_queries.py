@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hustings.operators import centrality, keywords, network
 
 from .catalog import register, table
+from .storage import finished, stored
 from .text_queries import LEXICON
 
 _EVENTS = "(SELECT event_id, ts, event_type, CAST(user_id AS VARCHAR) AS u, strftime(ts, '%Y-%m-%d') AS day FROM events)"
@@ -41,21 +42,21 @@ def flow_examples(spark, sf_dir):
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, '{w}' AS k, '{f}' AS f FROM documents WHERE contains(regexp_replace(text, '[\\s\\x{{00A0}}\\x{{FEFF}}\\x{{200B}}]+', '', 'g'), '{w}')" for fs in LEXICON.values() for f, ws in fs.items() for w in ws)
 
 
-def _tagged(spark, sf_dir):
-    rows = keywords.tag(table(spark, sf_dir, "documents"), LEXICON, "text")
-    words = keywords.values(F.concat_ws(";", *[f"{d}키워드" for d in LEXICON]))
-    families = keywords.values(F.concat_ws(";", *[f"{d}계열" for d in LEXICON]))
-    return rows.select("doc_id", "source", "lang", words.alias("words"), families.alias("families"))
+def _hits(spark, sf_dir):
+    """What the documents hold of the lexicon, found in one pass and stored; the plans over it read no text."""
+    return stored(keywords.hits(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"], LEXICON, "text"), "keyword-hits")
 
 
 @register("family_cooccurrence", f"WITH f AS (SELECT DISTINCT doc_id, f FROM ({_FOUND})) SELECT a.f AS src, b.f AS dst, count(*) AS weight FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.f < b.f GROUP BY 1, 2")
 def family_cooccurrence(spark, sf_dir):
-    return network.cooccurrence(_tagged(spark, sf_dir).select("doc_id", F.explode("families").alias("f")), ["doc_id"], "f")
+    hits = _hits(spark, sf_dir)
+    return finished(network.cooccurrence(hits.select("doc_id", F.explode("families").alias("f")), ["doc_id"], "f"), "family-cooccurrence", hits)
 
 
 @register("keyword_cooccurrence", f"WITH k AS (SELECT DISTINCT doc_id, k FROM ({_FOUND})), t AS (SELECT k FROM k GROUP BY k ORDER BY count(*) DESC, k LIMIT 5), x AS (SELECT * FROM k WHERE k IN (SELECT k FROM t)) SELECT a.k AS src, b.k AS dst, count(*) AS weight FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 2")
 def keyword_cooccurrence(spark, sf_dir):
-    return network.cooccurrence(_tagged(spark, sf_dir).select("doc_id", F.explode("words").alias("k")), ["doc_id"], "k", 2, 5)
+    hits = _hits(spark, sf_dir)
+    return finished(network.cooccurrence(hits.select("doc_id", F.explode("words").alias("k")), ["doc_id"], "k", 2, 5), "keyword-cooccurrence", hits)
 
 
 @register("strength", f"SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength, round(count(*)::DOUBLE / (count(*) OVER () - 1), 6) AS degree_centrality, round(sum(weight)::DOUBLE / (count(*) OVER () - 1), 6) AS mean_strength FROM {_BOTH} GROUP BY node")
@@ -138,7 +139,8 @@ _RELATED = f"(SELECT DISTINCT doc_id, source, lang FROM documents WHERE doc_id I
 t AS (SELECT k FROM (SELECT DISTINCT doc_id, k FROM f WHERE doc_id IN (SELECT doc_id FROM r)) GROUP BY k ORDER BY count(*) DESC, k LIMIT 4)
 SELECT DISTINCT source AS src, 'lang' AS relation, lang AS dst FROM o UNION SELECT CAST(doc_id AS VARCHAR), 'speaker', source FROM c UNION SELECT CAST(doc_id AS VARCHAR), 'family', f FROM f WHERE doc_id IN (SELECT doc_id FROM c) UNION SELECT CAST(doc_id AS VARCHAR), 'keyword', k FROM f WHERE doc_id IN (SELECT doc_id FROM c) AND k IN (SELECT k FROM t)""")
 def knowledge_graph(spark, sf_dir):
-    return network.knowledge_graph(_tagged(spark, sf_dir), "source", "doc_id", ["lang"], "families", "words", ["lang"], 5, 30, 4)
+    hits = _hits(spark, sf_dir)
+    return finished(network.knowledge_graph(hits, "source", "doc_id", ["lang"], "families", "words", ["lang"], 5, 30, 4), "knowledge-graph", hits)
 
 
 @register("network_validation", "SELECT 'duplicate_rows' AS item, CAST(coalesce(sum(k), 0) AS BIGINT) AS n FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'speakers_with_several_l_returnflag', count(*) FROM (SELECT l_suppkey FROM lineitem WHERE trim(coalesce(l_returnflag, '')) <> '' GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)")
@@ -146,22 +148,90 @@ def network_validation(spark, sf_dir):
     return network.validation(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey", ["l_returnflag"])
 
 
-@register("betweenness")
+def _paths_sql(length: str, hops: int) -> str:
+    """Distances by relaxation hop by hop, shortest paths counted over the arcs that lie on one, and what follows from them."""
+    return f"""WITH RECURSIVE g AS (SELECT * FROM {_EDGES} WHERE weight >= 2), e AS (SELECT src, dst, {length} AS len FROM g UNION ALL SELECT dst, src, {length} FROM g), n AS (SELECT DISTINCT src AS v FROM e),
+p AS (SELECT v AS s, v AS t, 0 AS h, 0.0::DOUBLE AS d FROM n UNION ALL SELECT s, dst, h + 1, min(d + len) FROM p JOIN e ON t = src WHERE h < {hops} GROUP BY s, dst, h),
+f AS (SELECT s, t, min(d) AS d FROM p GROUP BY s, t),
+x AS (SELECT a.s, e.src AS u, e.dst AS v FROM f a JOIN e ON a.t = e.src JOIN f b ON b.s = a.s AND b.t = e.dst WHERE abs(a.d + e.len - b.d) < 1e-9),
+q AS (SELECT v AS s, v AS t, 0 AS h, 1.0::DOUBLE AS k FROM n UNION ALL SELECT q.s, x.v, h + 1, sum(k) FROM q JOIN x ON x.s = q.s AND x.u = q.t WHERE h < {hops} GROUP BY q.s, x.v, h),
+m AS (SELECT f.s, f.t, f.d, sum(k) AS k FROM q JOIN f ON f.s = q.s AND f.t = q.t GROUP BY 1, 2, 3),
+b AS (SELECT l.t AS node, sum(l.k * r.k / m.k) AS b FROM m l JOIN m r ON l.t = r.s JOIN m ON m.s = l.s AND m.t = r.t WHERE l.s <> l.t AND r.s <> r.t AND m.s <> m.t AND abs(l.d + r.d - m.d) < 1e-9 GROUP BY 1),
+c AS (SELECT s AS node, count(*) - 1 AS reached, sum(d) AS far FROM f GROUP BY 1), z AS (SELECT count(*)::DOUBLE AS n FROM n)
+SELECT c.node, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness, round(reached / far * reached / (n - 1), 6) AS closeness FROM c LEFT JOIN b USING (node), z"""
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@register("betweenness", _paths_sql("1.0::DOUBLE", 12))
 def betweenness(spark, sf_dir):
-    """Iterative; the tests hold it against small graphs worked out by hand."""
-    return centrality.paths(_edges(spark, sf_dir, 2))
+    return _rounded(centrality.paths(_edges(spark, sf_dir, 2)), "betweenness", "closeness")
 
 
-@register("weighted_betweenness")
+@register("weighted_betweenness", _paths_sql("1.0::DOUBLE / weight", 24))
 def weighted_betweenness(spark, sf_dir):
-    return centrality.paths(_edges(spark, sf_dir, 2), weighted=True)
+    return _rounded(centrality.paths(_edges(spark, sf_dir, 2), weighted=True), "betweenness", "closeness")
+
+
+def _power_sql(rounds: int = 60) -> str:
+    steps = [f"x{k} AS MATERIALIZED (SELECT node, v / sqrt(sum(v * v) OVER ()) AS v FROM (SELECT x.node, x.v + coalesce(s, 0) AS v FROM x{k - 1} x LEFT JOIN (SELECT dst, sum(weight * v) AS s FROM e JOIN x{k - 1} ON node = src GROUP BY dst) ON dst = node))" for k in range(1, rounds + 1)]
+    return f"WITH g AS (SELECT * FROM {_EDGES} WHERE weight >= 2), e AS MATERIALIZED (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g), x0 AS MATERIALIZED (SELECT DISTINCT src AS node, 1.0::DOUBLE AS v FROM e), {', '.join(steps)} SELECT node, round(v, 6) AS eigenvector FROM x{rounds}"
 
 
-@register("eigenvector")
+@register("eigenvector", _power_sql())
 def eigenvector(spark, sf_dir):
-    return centrality.eigenvector(_edges(spark, sf_dir, 2), weighted=True)
+    return _rounded(centrality.eigenvector(_edges(spark, sf_dir, 2), weighted=True), "eigenvector")
 
 
 @register("communities")
 def communities(spark, sf_dir):
+    """A search that SQL can't express; the tests hold it against graphs whose communities are known."""
     return centrality.communities(_edges(spark, sf_dir, 2))
+
+
+@register("community_sizes")
+def community_sizes(spark, sf_dir):
+    """Communities with their strongest members."""
+    edges = stored(_edges(spark, sf_dir, 2), "edges")
+    return finished(centrality.community_summary(centrality.communities(edges), edges), "community-sizes", edges)
+
+
+_COUNTED = "(SELECT u AS id, count(*) AS speeches, strftime(min(ts), '%Y-%m-%d') AS first_day FROM " + _EVENTS + " WHERE coalesce(u, '') <> '' GROUP BY 1)"
+
+
+def _speakers(spark, sf_dir):
+    return _speeches(spark, sf_dir).filter(F.coalesce("u", F.lit("")) != "").groupBy("u").agg(F.count("*").alias("speeches"), F.min("day").alias("first_day"))
+
+
+@register("speaker_nodes", f"SELECT id, speeches, first_day, degree, strength FROM {_COUNTED} JOIN (SELECT node AS id, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM {_BOTH} GROUP BY 1) USING (id)")
+def speaker_nodes(spark, sf_dir):
+    return centrality.speaker_nodes(_edges(spark, sf_dir), _speakers(spark, sf_dir), "u", "speeches", "first_day")
+
+
+_TABLE = f"""(SELECT id AS node, speeches, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength, round(coalesce(degree, 0)::DOUBLE / (n - 1), 6) AS degree_centrality, coalesce(p.betweenness, 0) AS betweenness, coalesce(w.betweenness, 0) AS weighted_betweenness, coalesce(p.closeness, 0) AS closeness, coalesce(w.closeness, 0) AS weighted_closeness
+FROM {_COUNTED} LEFT JOIN (SELECT src AS id, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM (SELECT src, dst, weight FROM {_EDGES} UNION ALL SELECT dst, src, weight FROM {_EDGES}) GROUP BY 1) USING (id) LEFT JOIN ({_paths_sql('1.0::DOUBLE', 12).replace('WHERE weight >= 2', '')}) p ON p.node = id LEFT JOIN ({_paths_sql('1.0::DOUBLE / weight', 24).replace('WHERE weight >= 2', '')}) w ON w.node = id, (SELECT count(*) AS n FROM {_COUNTED}) z)"""
+_RANKED = ("degree_centrality", "strength", "betweenness", "weighted_betweenness", "closeness", "weighted_closeness")
+
+
+@register("centrality_table", f"SELECT *, {', '.join(f'rank() OVER (ORDER BY {m} DESC) AS {m}_rank' for m in _RANKED)} FROM {_TABLE}")
+def centrality_table(spark, sf_dir):
+    """All metrics of all speakers; values are rounded before they are ranked, and the two eigenvectors have a query of their own."""
+    out = centrality.centrality_table(_edges(spark, sf_dir), _speakers(spark, sf_dir).select(F.col("u").alias("node"), "speeches"), "node", [F.desc("speeches")])
+    out = _rounded(out.drop(*[f"{m}_rank" for m in centrality.METRICS], "eigenvector", "weighted_eigenvector", "mean_strength"), *[m for m in _RANKED if m != "strength"])
+    return centrality.ranks(out, _RANKED)
+
+
+_FIRSTS = f"(SELECT metric, arg_min(node, (-v, node)) AS centre FROM (SELECT 'degree' AS metric, node, count(*)::DOUBLE AS v FROM {_BOTH} GROUP BY node UNION ALL SELECT 'strength', node, sum(weight)::DOUBLE FROM {_BOTH} GROUP BY node) GROUP BY metric)"
+
+
+@register("ego_networks", f"WITH f AS {_FIRSTS}, b AS {_BOTH}, r AS (SELECT metric, centre, other, row_number() OVER (PARTITION BY metric ORDER BY weight DESC, other) AS k FROM f JOIN b ON node = centre), k AS (SELECT metric, centre, other FROM r WHERE k <= 12 UNION SELECT metric, centre, centre FROM f) SELECT a.metric, a.centre, e.src, e.dst, e.weight FROM {_EDGES} e JOIN k a ON a.other = e.src JOIN k z ON z.other = e.dst AND z.metric = a.metric")
+def ego_networks(spark, sf_dir):
+    edges = stored(_edges(spark, sf_dir), "edges")
+    return finished(centrality.ego_networks(edges, centrality.strength(edges), ["degree", "strength"]), "ego-networks", edges)
+
+
+@register("stance_vectors", f"SELECT term, session, party, round(f * 1000.0::DOUBLE / chars, 6) AS f, round(o * 1000.0::DOUBLE / chars, 6) AS o, round(p * 1000.0::DOUBLE / chars, 6) AS p FROM {_STANCE}")
+def stance_vectors(spark, sf_dir):
+    return _stances(spark, sf_dir).select("term", "session", "party", *[F.round(F.col("v")[k], 6).alias(n) for k, n in enumerate("fop")])

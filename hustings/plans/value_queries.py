@@ -11,11 +11,6 @@ from .catalog import register, table
 PRIORITY = "o_orderpriority"
 
 
-def _values(spark, sf_dir, name: str, column: str) -> list:
-    """The few values of an enumeration column, in order."""
-    return [r[0] for r in table(spark, sf_dir, name).select(column).distinct().orderBy(column).limit(1000).collect()]
-
-
 _KW = {"the": "kw_the", "que": "kw_que", "der": "kw_der"}
 
 
@@ -91,7 +86,7 @@ def family_density(spark, sf_dir):
 def dense_cube(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
     axes = ["o_orderstatus", PRIORITY, "year"]
-    return rollups.dense(rows.groupBy(*axes).agg(F.count("*").alias("n")), [(a, rows.select(a)) for a in axes], "n")
+    return rollups.dense(rows.groupBy(*axes).agg(F.count("*").alias("n")), [(a, rollups.values_of(rows, a)) for a in axes], "n")
 
 
 @register("modal_attributes", "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1")

@@ -44,8 +44,10 @@ def test_communities(spark):
     two = [(x, y, 5.0) for g in ("abc", "def") for i, x in enumerate(g) for y in g[i + 1 :]] + [("c", "d", 1.0)]
     got = {r.node: r.community for r in centrality.communities(edges(spark, two)).collect()}
     assert [got[n] for n in "abcdef"] == [1, 1, 1, 2, 2, 2]
-    g = centrality.Graph(two)
-    assert centrality.modularity(g, centrality.louvain(g)) > 0.3 and centrality.louvain(centrality.Graph([])) == []
+    g = centrality.Graph(*zip(*two))
+    assert centrality.modularity(g, centrality.louvain(g)) > 0.3 and centrality.louvain(centrality.Graph([], [], [])) == []
+    sizes = {r.community: (r["size"], r.members) for r in centrality.community_summary(centrality.communities(edges(spark, two)), edges(spark, two)).collect()}
+    assert sizes == {1: (3, "c; a; b"), 2: (3, "d; e; f")}
 
 
 def test_too_large_a_graph_is_an_error(spark, monkeypatch):
