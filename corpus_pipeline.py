@@ -8,23 +8,31 @@ from hustings.llm import common, jaccard, packing, pii, queries, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labels table, doesn't reject."""
+    """Documents that the toxicity model, learned from the labels table, doesn't reject.
+
+    Null and empty texts have no hits and stay; texts of any length are judged whole; repeated rows and rows without an
+    id are judged each. Without labels of both kinds nothing is rejected; an empty table stays empty.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join, the one with the least id."""
+    """One document of each component of the n-gram Jaccard join, the one with the least id.
+
+    Texts without words, null ones too, are components of their own and stay, as do rows without an id. Of rows with
+    one id the one with the least text stays. An empty table stays empty.
+    """
     return jaccard.keep_one(docs, jaccard.link(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked and n_chars of changed texts counted anew."""
+    """All documents, with personal data masked and n_chars of changed texts counted anew; null and empty texts stay."""
     return pii.redact(docs, length_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens; a null or empty text is its end token alone."""
     return packing.pack(docs, queries.byte_bpe())
 
 
@@ -35,8 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents table; each is written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over the documents table; each is written to the shared folder, read by the next and then deleted."""
+    docs, shelf = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.Shelf()
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        shelf.close()
+        shelf.take(docs)
     return docs

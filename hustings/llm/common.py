@@ -24,7 +24,9 @@ _own_dirs: dict[str, str] = {}
 
 
 def session(spark: SparkSession, arrow_rows: int = ARROW_ROWS) -> SparkSession:
-    """The session, with this package on its executors and Arrow batches bounded: few rows for wide texts, more for narrow ones."""
+    """The session, with this package on its executors and Arrow batches bounded: few rows for wide texts, more for narrow
+    ones. Operators that take more store what they make of them and leave the bound at ARROW_ROWS, so a frame that is
+    still to run finds no other."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
     return spark

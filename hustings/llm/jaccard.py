@@ -51,10 +51,12 @@ def _levels(docs: DataFrame, size: int) -> np.ndarray:
         held, total, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            x = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held.clear()
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], names=["h", "c"])
+            x.sort()
+            again, more = np.unique(x[1:][x[1:] == x[:-1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(more + 1, pa.int64())], names=["h", "c"])
 
         for b in batches:
             for _, found in shingles.of_batch(b, "t", size):

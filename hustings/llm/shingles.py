@@ -12,6 +12,8 @@ from . import common
 _WEIGHT = np.uint64(0x9E3779B97F4A7C15)
 #: Primes below 2^31, a base for each, and the base's inverse: sums of 2^25 bytes times a power fit 64 bits.
 _FIELDS = tuple((p, base, pow(base, -1, p)) for p, base in ((2147483647, 1_580_030_173), (2147483629, 1_128_889_081)))
+#: Bytes of a slice up to which the tables of powers are kept.
+KEPT = 1 << 19
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -31,10 +33,14 @@ def _power_table(base: int, prime: int, n: int) -> np.ndarray:
 
 
 def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    if not _powers or len(_powers[0][0]) < n:
-        size = max(n, 1 << 18)
-        _powers[:] = [(_power_table(base, p, size), _power_table(inverse, p, size)) for p, base, inverse in _FIELDS]
-    return _powers
+    """Powers of each base and of its inverse; those of usual slices are kept, longer ones are made for a text."""
+    if n <= KEPT and _powers:
+        return _powers
+    size = max(n, KEPT)
+    made = [(_power_table(base, p, size), _power_table(inverse, p, size)) for p, base, inverse in _FIELDS]
+    if n <= KEPT:
+        _powers[:] = made
+    return made
 
 
 def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -94,7 +100,7 @@ def sets(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def of_batch(batch: pa.RecordBatch, column: str, size: int = 5, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def of_batch(batch: pa.RecordBatch, column: str, size: int = 5, most_bytes: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of a batch with the shingle sets of their texts."""
     for part in common.pieces(batch, column, most_bytes):
         yield part, sets(*common.text_buffers(part.column(column)), size)
