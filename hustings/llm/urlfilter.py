@@ -1,4 +1,8 @@
-"""URL filters by association rules: Spark FP-growth mines token combinations from labelled urls."""
+"""URL filters by association rules: Spark FP-growth mines token combinations from labelled urls.
+
+The labels are the given rules' own verdicts, so mined rules mostly carry what marks a rule's urls, such as its first
+path segment, over to hosts that no rule names.
+"""
 
 from __future__ import annotations
 

@@ -51,3 +51,22 @@ def test_a_damaged_member_is_an_error_and_the_others_are_read(spark):
     assert got.rdd.getNumPartitions() > 1
     assert got.filter("error IS NULL").count() == 19 and got.filter("error IS NOT NULL AND payload IS NULL").count() == 1
     assert got.select(F.countDistinct("at")).first()[0] == 20
+
+
+def test_a_member_that_fails_at_first_is_read_by_its_offset(spark, monkeypatch):
+    common.session(spark)
+    spark.dataSource.register(media.MediaArchive)
+    root = common.fresh_path(spark, "flaky")
+    spark.createDataFrame([(str(k), f"text {k}".encode()) for k in range(12)], "name string, data binary").coalesce(1).write.format("media_archive").option("path", root).mode("append").save()
+    reader, decode, tries = media.ArchiveReader({"path": root, "rangeBytes": "1500", "retries": "2"}), media.ArchiveReader._decode, {}
+
+    def flaky(raw, head):
+        tries[raw] = tries.get(raw, 0) + 1
+        if tries[raw] <= len(tries) % 4:  # some members fail up to three times, which is one more than the retries
+            raise ValueError("not yet")
+        return decode(raw, head)
+
+    monkeypatch.setattr(media.ArchiveReader, "_decode", staticmethod(flaky))
+    rows = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert len(rows) == 12 and all(r["error"] is None and r["payload"] == payload(f"text {r['name'].split('.')[0]}") for r in rows)
+    assert sum(n > 1 for n in tries.values()) >= 6
