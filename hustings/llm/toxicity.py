@@ -55,7 +55,7 @@ class Automaton:
     then the lowest number, or None. States are kept up to most_states, then made anew.
     """
 
-    def __init__(self, terms: Sequence[tuple[str, bool, int]], most_states: int = 200_000):
+    def __init__(self, terms: Sequence[tuple[str, bool, int]], most_states: int = 50_000):
         self.terms, self.most = list(terms), most_states
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
@@ -148,7 +148,7 @@ class Model:
 class Scorer:
     """Features and scores of texts under a model; remembers tokens, up to most_tokens."""
 
-    def __init__(self, model: Model, most_tokens: int = 200_000):
+    def __init__(self, model: Model, most_tokens: int = 100_000):
         self.model, self.most = model, most_tokens
         self.automaton = Automaton([(t[0], t[1], t[3]) for t in model.terms])
         self.memo: dict[str, tuple[int, int] | None] = {}
@@ -277,14 +277,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float
     return w.tolist()
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str | int = "t") -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts hold 1 MB at most, or one row."""
+    for b in batches:
+        yield from common.pieces(b, column, 1 << 20)
+
+
 def _noise(kept: DataFrame, terms: Sequence[tuple[str, bool, float]]) -> dict[tuple[int, int], int]:
     """Clean documents that hold a hit of a term with so many edits."""
     sent = kept.sparkSession.sparkContext.broadcast(Model([(*t, allowed(*t[:2])) for t in terms]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen = Scorer(sent.value), Counter()
-        for b in batches:
-            for t in common.texts(b.column("t")):
+        for part in _parts(batches):
+            for t in common.texts(part.column("t")):
                 seen.update({h for _, h in scorer.hits(t.lower().split())})
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["k", "e", "n"])
@@ -293,57 +299,25 @@ def _noise(kept: DataFrame, terms: Sequence[tuple[str, bool, float]]) -> dict[tu
     return {(r["k"], r["e"]): r["n"] for r in found}
 
 
-def _without_copies(rows: DataFrame, least: float = 0.75, size: int = 128) -> DataFrame:
-    """(t, y) without near copies: texts of one label with an equal key that share `least` of their words.
-
-    Keys are the two least word hashes, the least and the greatest hash of five words in a row. In turn each key's
-    least text stays and that one's near copies go; all its other texts stay too, so none goes for an equal key
-    alone. The share is exact up to `size` words in both texts, and else that of their least hashes.
-    """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, y, hashes, keys = common.texts(b.column("t")), b.column("y").to_pylist(), [], []
-            for t, label in zip(texts, y):
-                words = t.lower().split()
-                own = sorted({zlib.crc32(w.encode()) for w in set(words)})[:size]
-                runs = [zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))]
-                hashes.append(own)
-                keys.append([f"{int(label > 0)},{k}" for k in (own[:2], min(runs), max(runs))])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.string()), b.column("y")], names=["k", "s", "t", "y"])
-
-    left = common.stored(rows.mapInArrow(sketch, "k array<string>, s array<long>, t string, y int"), "toxicity-sketches")
-    union = F.slice(F.array_sort(F.array_union("s", "f")), 1, size)
-    shared = F.array_intersect(F.array_intersect(union, F.col("s")), F.col("f"))
-    for turn in range(3):
-        keyed = left.withColumn("key", F.col("k")[turn])
-        first = common.stored(keyed.groupBy("key").agg(F.min(F.struct("t", "y", "s", "k")).alias("r"), F.count("*").alias("n")), "toxicity-firsts")
-        pairs = keyed.join(F.broadcast(first.filter("n > 1").select("key", F.col("r.s").alias("f"))), "key")
-        others = pairs.filter(F.size(shared) < least * F.size(union)).select("k", "s", "t", "y")
-        old, left = left, common.stored(first.select("r.k", "r.s", "r.t", "r.y").union(others), "toxicity-sketches")
-        common.release(old, first)
-        common.tidy(rows.sparkSession)
-    return left.select("t", "y")
-
-
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share: float = 0.01, min_evidence: float = 2.5, most_terms: int = 2_000, most_toxic: int = 2_000, most_noise: float = 0.0001, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled rows that aren't held out: at most most_rows of them, those with the least hash of their id.
 
-    Only texts and labels are inputs. Copies and near copies of one label, told by _without_copies, count once. A null
-    label is none; a row labelled twice takes the larger label. Without labelled rows of both kinds the lexicon is
-    empty and every score nearly 0. What reaches the driver is bounded: terms by their share of toxic documents
+    Only texts and labels are inputs. For the lexicon, exact copies of a text with one label count once, and no other
+    row goes; near copies are met by spread(). A null label is none; a row labelled twice takes the larger label; a
+    null or empty text has no terms. Without labelled rows of both kinds the lexicon is empty and every score nearly 0. What reaches the driver is bounded: terms by their share of toxic documents
     and most_terms, texts by most_toxic (to tell terms that only copies share), features by most_rows.
     """
     spark = common.session(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i IS NOT NULL AND y IS NOT NULL").filter(~held_out(F.col("i")))
     known = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most_rows)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL").join(F.broadcast(known), "i").select("t", "y")
-    rows = common.stored(rows, "toxicity-rows")
-
-    kept = _without_copies(rows)
-    kept = common.stored(kept, "toxicity-kept")
-    sizes = {r["y"] > 0: r["n"] for r in kept.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    shelf = common.Shelf()
+    rows = shelf.put(rows, "toxicity-rows")
+    once = rows.groupBy(F.sha2(F.coalesce("t", F.lit("")), 256).alias("d"), (F.col("y") > 0).cast("int").alias("y")).agg(F.min("t").alias("t"))
+    kept = shelf.put(once.select("t", "y"), "toxicity-kept")
+    sizes = {r["y"] > 0: r["n"] for r in kept.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(True) and sizes.get(False)):
+        shelf.close()
         return Model()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,10 +330,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share:
             neg.clear()
             return batch
 
-        for b in batches:
+        for b in _parts(batches):
             for t, y in zip(common.texts(b.column("t")), b.column("y").to_pylist()):
                 (pos if y > 0 else neg).update(_terms(t))
-                if len(pos) + len(neg) > 200_000:
+                if len(pos) + len(neg) > 100_000:
                     yield flush()
         yield flush()
 
@@ -374,11 +348,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, min_share:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in _parts(batches):
             x = [scorer.features(t).tolist() for t in common.texts(b.column("t"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
     got = rows.mapInArrow(features, "x array<double>, y int").groupBy("x", "y").count().collect()
+    shelf.close()
     x = np.array([r["x"] for r in got]).reshape(len(got), N_FEATURES)
     order = np.lexsort(x.T)
     n = np.array([r["count"] for r in got])[order]
@@ -399,7 +374,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in _parts(batches):
             s = scorer.scores(common.texts(b.column("t")))
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["i", "held_out", "score", "predicted"])
 
@@ -408,14 +383,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't call toxic, all columns unchanged."""
+    """The rows of docs that the model doesn't call toxic, all columns unchanged.
+
+    A null or empty text has no hits and stays unless the model calls the empty text toxic, which it learns from rows
+    alone; rows without an id, repeated rows and texts of any length are judged by their whole text like any. An
+    empty table stays empty. One pass, no shuffle.
+    """
     spark = common.session(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in _parts(batches, at):
             yield b.filter(pa.array(scorer.scores(common.texts(b.column(at))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
