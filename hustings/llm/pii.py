@@ -2,7 +2,10 @@
 
 The network reads overlapping windows of a whole text; its tags are decoded by Viterbi in each window and reconciled
 over the text: where windows overlap, each half of the overlap follows the window it lies deeper in, and spans that
-cross a seam are joined. It is trained in numpy from labelled spans by train(); weights.npz holds what that gave.
+cross a seam are joined. The network decides: a span is added where the CRF's marginal probability of its kind is
+`least` or more at each of its characters. Only what can be computed is checked after that: the checksum of a card,
+the range of an address' parts. It is trained in numpy from labelled spans by pii_train; pii_weights.npz holds what
+that gave.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, OVERLAP = 256, 64
 #: Windows that one step of the network takes together.
 ROWS = 2_048
+#: The marginal probability that each character of an added span needs.
+LEAST = 0.9
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
 # ---- Fixed patterns ---------------------------------------------------------------------------------------------
@@ -74,23 +79,36 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- The network ------------------------------------------------------------------------------------------------
 
-#: Character classes: 10 digits, letters in 6 groups, the marks of the patterns, white space, other ASCII, others.
-_MARKS = "@.-_+%() :/,;=\"'\n"
-_CLASSES = np.full(256, 36, np.uint8)
-for _k in range(128):
-    _c = chr(_k)
-    _CLASSES[_k] = (
-        _k - 48 if _c.isdigit() else 16 + _MARKS.index(_c) if _c in _MARKS else 10 + 3 * _c.isupper() + (_c.lower() in "aeiou") + 2 * (_c.lower() in "dt") if _c.isalpha()
-        else 33 if _c.isspace() else 34
-    )
-N_CLASSES = 38
-_PAD = 37
+#: Character classes: 10 digits, letters in 8 groups (those of "at" and "dot" alone), the marks of the patterns, white
+#: space, other ASCII, others.
+_MARKS = "@.-_+%() :/,;=\"'\n[]"
+_LETTERS = "aodt"
+_FIRST_MARK = 18
+_SPACE_CLASS, _ASCII_CLASS, _OTHER_CLASS, _PAD = (_FIRST_MARK + len(_MARKS) + k for k in range(4))
+N_CLASSES = _PAD + 1
+
+
+def _class(code: int) -> int:
+    c = chr(code)
+    if c.isdigit():
+        return code - 48
+    if c in _MARKS:
+        return _FIRST_MARK + _MARKS.index(c)
+    if c in _LETTERS:
+        return 10 + _LETTERS.index(c)
+    if c.isalpha():
+        return 14 + 2 * c.isupper() + (c.lower() in "aeiou")
+    return _SPACE_CLASS if c.isspace() else _ASCII_CLASS
+
+
+_CLASSES = np.full(256, _OTHER_CLASS, np.uint8)
+_CLASSES[:128] = [_class(k) for k in range(128)]
 
 
 def classes(text: str) -> np.ndarray:
     """The class of each code point; those beyond Latin-1 share one."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.full(len(codes), 36, np.uint8)
+    out = np.full(len(codes), _OTHER_CLASS, np.uint8)
     low = codes < 256
     out[low] = _CLASSES[codes[low]]
     return out
@@ -103,8 +121,9 @@ class Network:
         self.w = {k: v.astype(np.float32) for k, v in weights.items()}
         self.hidden = self.w["uf"].shape[0]
 
-    def states(self, x: np.ndarray, side: str) -> np.ndarray:
-        """(time, hidden, rows) states of class indices (time, rows), read forward for side f or backward for b."""
+    def states(self, x: np.ndarray, side: str, over: Sequence[int]) -> np.ndarray:
+        """(time, hidden, rows) states of class indices (time, rows), read forward for side f or backward for b. The
+        first over[t] rows have ended before t, so what stands there changes no state within a row."""
         time, rows = x.shape
         h = self.hidden
         u = np.ascontiguousarray(self.w["u" + side].T)
@@ -127,14 +146,39 @@ class Network:
             last = out[t]
             np.tanh(cell, out=last)
             last *= g[h : 2 * h]
+            if over[t]:
+                last[:, : over[t]] = cell[:, : over[t]] = 0
         return out
 
-    def tags(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each column of class indices (time, rows)."""
-        forward, backward = self.states(x, "f"), self.states(x, "b")
-        e = np.matmul(self.w["ef"].T, forward)
-        e += np.matmul(self.w["eb"].T, backward)
+    def emissions(self, x: np.ndarray, over: Sequence[int] | None = None) -> np.ndarray:
+        """(time, tags, rows) scores of each tag for class indices (time, rows)."""
+        over = over or [0] * len(x)
+        e = np.matmul(self.w["ef"].T, self.states(x, "f", over))
+        e += np.matmul(self.w["eb"].T, self.states(x, "b", over))
         e += self.w["e0"][None, :, None]
+        return e
+
+    def marginals(self, e: np.ndarray) -> np.ndarray:
+        """(time, tags, rows) probabilities of each tag under the CRF, by messages forward and backward."""
+        move = np.exp(self.w["move"].astype(np.float64))
+        local = np.exp(e.astype(np.float64) - e.max(1, keepdims=True))
+        ahead, back = np.empty_like(local), np.ones_like(local)
+        for t in range(len(e)):
+            ahead[t] = local[t] * (move.T @ ahead[t - 1] if t else 1.0)
+            ahead[t] /= ahead[t].sum(0)
+        for t in range(len(e) - 2, -1, -1):
+            back[t] = move @ (local[t + 1] * back[t + 1])
+            back[t] /= back[t].sum(0)
+        both = ahead * back
+        return both / both.sum(1, keepdims=True)
+
+    def tags(self, x: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The best tag sequence of each column of class indices (time, rows), and the tags' marginal probabilities in
+        those columns that hold any span, 1 elsewhere. A column's result depends on its first `lengths` indices alone;
+        lengths ascend."""
+        lengths = np.full(x.shape[1], len(x)) if lengths is None else lengths
+        over = np.searchsorted(lengths, np.arange(len(x)), side="right").tolist()
+        e = self.emissions(x, over)
         move = self.w["move"]
         time, k, rows = e.shape
         back = np.empty((time, k, rows), np.uint8)
@@ -149,6 +193,8 @@ class Network:
                 np.maximum(now, with_j, out=now)
                 where[better] = j
             now += e[t]
+            if over[t]:
+                now[:, : over[t]], where[:, : over[t]] = best[:, : over[t]], np.arange(k, dtype=np.uint8)[:, None]
             best = now
         out = np.empty((time, rows), np.uint8)
         at = best.argmax(0).astype(np.uint8)
@@ -156,7 +202,12 @@ class Network:
         for t in range(time - 1, -1, -1):
             out[t] = at
             at = back[t, at, every]
-        return out
+        sure = np.ones((time, rows), np.float32)
+        some = np.flatnonzero(out.any(0))
+        for n in np.unique(lengths[some]).tolist():
+            own = some[lengths[some] == n]
+            sure[:n, own] = np.take_along_axis(self.marginals(e[:n][:, :, own]), out[:n][:, None, own], 1)[:, 0]
+        return out, sure
 
 
 def load() -> Network:
@@ -167,8 +218,9 @@ def load() -> Network:
         return Network(dict(f))
 
 
-def tag_texts(network: Network, texts: Sequence[str]) -> list[np.ndarray]:
-    """The tag of each code point of each text, from overlapping windows reconciled over the whole text."""
+def tag_texts(network: Network, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The tag of each code point of each text and its probability, from overlapping windows reconciled over the whole
+    text."""
     coded = [classes(t) for t in texts]
     step = WINDOW - OVERLAP
     spots, pieces = [], []
@@ -178,7 +230,7 @@ def tag_texts(network: Network, texts: Sequence[str]) -> list[np.ndarray]:
             if len(part):
                 spots.append((i, s, len(part)))
                 pieces.append(part)
-    out = [np.zeros(len(c), np.uint8) for c in coded]
+    out = [(np.zeros(len(c), np.uint8), np.ones(len(c), np.float32)) for c in coded]
     order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
     for a in range(0, len(order), ROWS):
         own = order[a : a + ROWS]
@@ -187,12 +239,13 @@ def tag_texts(network: Network, texts: Sequence[str]) -> list[np.ndarray]:
         for r, k in enumerate(own):
             x[r, : len(pieces[k])] = pieces[k]
         same, back = np.unique(x, axis=0, return_inverse=True) if len(own) > 1 and (x[0] == x[-1]).all() else (x, np.arange(len(own)))
-        tags = network.tags(np.ascontiguousarray(same.T)).T[back.ravel()]
+        lengths = np.array([len(pieces[k]) for k in own]) if len(same) == len(own) else np.full(len(same), longest)
+        tags, sure = (a.T[back.ravel()] for a in network.tags(np.ascontiguousarray(same.T), lengths))
         for r, k in enumerate(own):
             i, s, n = spots[k]
             lo = s + (OVERLAP // 2 if s else 0)
-            hi = s + n - (OVERLAP // 2 if s + n < len(out[i]) else 0)
-            out[i][lo:hi] = tags[r, lo - s : hi - s]
+            hi = s + n - (OVERLAP // 2 if s + n < len(out[i][0]) else 0)
+            out[i][0][lo:hi], out[i][1][lo:hi] = tags[r, lo - s : hi - s], sure[r, lo - s : hi - s]
     return out
 
 
@@ -205,27 +258,21 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(s), int(tags[s]) - 1, int(e)) for s, e in zip(starts, ends) if tags[s]]
 
 
-def plausible(text: str, kind: int) -> bool:
-    """Whether a span that the network adds can be what it says: enough digits, or a sign of an address."""
-    digits = sum(c.isdigit() for c in text)
+def possible(text: str, kind: int) -> bool:
+    """Whether a span's digits can be what its kind says: parts of an ip in range, a card's checksum, a phone's length."""
     if kind == 0:
-        return _ADDRESS.fullmatch(text.lower()) is not None
+        return True
+    parts = re.findall(r"[0-9]+", text)
+    digits = "".join(parts)
     if kind == 1:
-        return 4 <= digits <= 12 and all(int(p) <= 255 for p in re.findall(r"[0-9]{1,9}", text)) and len(re.findall(r"[0-9]+", text)) == 4
-    if kind == 2:
-        return 12 <= digits <= 19 and luhn(re.sub(r"\D", "", text.translate(_ASCII_DIGITS)))
-    return 9 <= digits <= 15 and (text[:1] in "+(" or text[:2] == "00") and len(text) - digits >= 2
-
-
-#: Addresses with a sign for the at and one for a dot; an at in words needs a dot in words.
-_ADDRESS = re.compile(r"[\w.%+-]+(?: at [\w-]+(?: dot [\w-]+)+| ?(?:@|[(\[]at[)\]]) ?[\w-]+(?: ?(?:\.|[(\[]dot[)\]]| dot ) ?[\w-]+)+)")
-_ASCII_DIGITS = {ord(c): None for c in "()"}
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
 
 
-def detect_texts(network: Network, texts: Sequence[str]) -> list[tuple[list, list]]:
+def detect_texts(network: Network, texts: Sequence[str], least: float = LEAST) -> list[tuple[list, list]]:
     """(fixed, all) spans of each text as sorted (start, kind, end); added spans overlap no fixed one."""
     out = []
-    for text, tags in zip(texts, tag_texts(network, texts)):
+    for text, (tags, sure) in zip(texts, tag_texts(network, texts)):
         base = fixed_spans(text)
         added = []
         for s, kind, e in spans_of(tags):
@@ -233,7 +280,7 @@ def detect_texts(network: Network, texts: Sequence[str]) -> list[tuple[list, lis
                 s += 1
             while e > s and (text[e - 1].isspace() or text[e - 1] in ".,;:!?"):
                 e -= 1
-            if all(e <= a or b <= s for a, _, b in base) and plausible(text[s:e], kind):
+            if s < e and sure[s:e].min() >= least and possible(text[s:e], kind) and all(e <= a or b <= s for a, _, b in base):
                 added.append((s, kind, e))
         out.append((base, sorted(base + added)))
     return out
@@ -243,7 +290,7 @@ def written(spans: Sequence[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, batch_bytes: int = 1 << 20) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row, from the whole text.
 
     Counts and spans are of all spans, the hash of the fixed ones. A null or empty text has none. Repeated rows and
@@ -259,7 +306,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
         network = load()
         for whole in batches:
             for b in common.pieces(whole, "t", batch_bytes):
-                found = detect_texts(network, common.texts(b.column("t")))
+                found = detect_texts(network, common.texts(b.column("t")), least)
                 counts = [pa.array([sum(s[1] == k for s in spans) for _, spans in found], pa.int64()) for k in range(len(KINDS))]
                 digest = pa.array([hashlib.sha256(written(fixed).encode()).hexdigest() for fixed, _ in found])
                 yield pa.RecordBatch.from_arrays([b.column("i"), *counts, digest, pa.array([written(spans) for _, spans in found])], names=["i", *names, "base_sha256", "spans"])
@@ -282,7 +329,8 @@ def masked(text: str, spans: Sequence[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, batch_bytes: int = 1 << 20) -> DataFrame:
     """All rows and columns, with personal data in the text masked; length_col, if named, gets the new length of
-    changed texts. Null texts stay null."""
+    changed texts. Null and empty texts stay as they are, texts of any length are masked whole, repeated rows and
+    rows without an id each like any. An empty table stays empty. One pass, no shuffle."""
     common.session(docs.sparkSession)
     at, schema = docs.columns.index(text_col), docs.schema
     length = docs.columns.index(length_col) if length_col in docs.columns else None
