@@ -6,6 +6,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from hustings.llm import chunkmemo, common, packing
@@ -79,7 +81,7 @@ def test_pack_empty(no_docs):
 def test_sum_of_squares_takes_the_best_level():
     r = random.Random(3)
     size = 16
-    p, levels, fill = packing.SumOfSquares(size), [0] * (size + 1), {}
+    p, levels, fill = packing.SumOfSquares(size, 10_000), [0] * (size + 1), {}
     for _ in range(400):
         n = r.randint(1, size)
         options = {}
@@ -92,11 +94,54 @@ def test_sum_of_squares_takes_the_best_level():
             if h + n < size:
                 after[h + n] += 1
             options[h] = sum(c * c for c in after)
-        window, offset = p.place(n)
-        assert options[offset] == min(options.values())
+        window, offset, taken = p.place(n)
+        assert taken == n and options[offset] == min(options.values())
         assert fill.get(window, 0) == offset
         fill[window] = offset + n
         if offset:
             levels[offset] -= 1
         if offset + n < size:
             levels[offset + n] += 1
+
+
+def placed(packer, lengths):
+    """Windows' fills after documents of some lengths, each id placed once."""
+    fill = {}
+    for n in lengths:
+        while n:
+            window, offset, taken = packer.place(min(packer.size, n))
+            assert 0 < taken <= n and fill.get(window, 0) == offset and offset + taken <= packer.size
+            fill[window] = offset + taken
+            n -= taken
+            assert packer.now_open == sum(0 < f < packer.size for f in fill.values()) <= packer.most
+    return fill
+
+
+@pytest.mark.parametrize("lengths", [[1100] * 3000, [random.Random(5).randint(1, 5000) for _ in range(2000)], [1] * 100, [2047, 2] * 50])
+def test_open_windows_are_bounded(lengths):
+    fill = placed(packing.SumOfSquares(2048, 16), lengths)
+    assert sum(fill.values()) == sum(lengths) and sum(f < 2048 for f in fill.values()) <= 16
+
+
+@given(st.integers(2, 40), st.integers(1, 5), st.lists(st.integers(1, 90), max_size=60))
+def test_any_lengths_are_placed(size, most, lengths):
+    placed(packing.SumOfSquares(size, most), lengths)
+
+
+def test_almost_all_pieces_stay_where_the_rule_puts_them(spark, docs, plain, monkeypatch):
+    """The pieces of at most most_open windows are laid anew at the end of a task."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randint(0, 999)}" for _ in range(r.randint(1, 600))) for _ in range(400)]
+    rows = packing.pack(docs(texts).coalesce(1), PATH).collect()
+    packer, fill, own = packing.SumOfSquares(2048, 16), {}, set()
+    for doc_id, text in enumerate(texts, 1):
+        total, start = len(plain(text)) + 1, 0
+        while start < total:
+            window, offset, taken = packer.place(min(2048, total - start))
+            own.add((doc_id, start, taken, window, offset))
+            fill[window] = offset + taken
+            start += taken
+    stays = {p for p in own if fill[p[3]] == 2048}
+    assert stays <= {(x.doc_id, x.start, x.length, x.sequence_id, x.offset) for x in rows}
+    ids = lambda ps: sum(p[2] for p in ps)
+    assert ids(stays) >= ids(own) - 16 * 2048
