@@ -2,7 +2,7 @@
 
 The model's protobuf is parsed here; normaliser, word mark, scores and byte fallback are rebuilt as a Tokenizer:
 a Unigram model from the scores of a unigram file, a BPE model with merges in order of score from a BPE file. Parity
-with the sentencepiece library is verified on probe texts when a model is loaded, and can be on every text.
+with the sentencepiece library is verified on probe texts when a model is loaded, and with verify_all on every text.
 """
 
 from __future__ import annotations
@@ -163,6 +163,7 @@ class Codec(ChunkMemo):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         super().__init__(most_chunks)
+        self.library = None
         with open(path, "rb") as f:
             self.spec = parse(f.read())
         self.tokenizer = build(self.spec)
@@ -187,9 +188,11 @@ class Codec(ChunkMemo):
         return plain, np.flatnonzero(start & np.repeat(plain, size))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Encoded so many at a time, as an encoding holds far more than its ids."""
+        parts = (texts[k : k + 512] for k in range(0, len(texts), 512))
+        return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
-    def chunks(self, found: list[bytes], block: int = 4096) -> list[np.ndarray]:
+    def chunks(self, found: list[bytes], block: int = 1024) -> list[np.ndarray]:
         """Words of one space are encoded together and told apart by their first ids' marks, the others one by one."""
         words = [c[1:] if c[0] == 32 else c for c in found]
         simple = [k for k, w in enumerate(words) if w and b" " not in w]
@@ -197,8 +200,9 @@ class Codec(ChunkMemo):
         parts = [simple[i : i + block] for i in range(0, len(simple), block)]
         out: list = [None] * len(found)
         for part, ids in zip(parts, self.whole([b" ".join([words[k] for k in p]).decode() for p in parts])):
-            for k, x in zip(part, np.split(ids, np.flatnonzero(self.marked[ids])[1:])):
-                out[k] = x
+            starts = [0, *np.flatnonzero(self.marked[ids])[1:].tolist()]
+            for k, start, end in zip(part, starts, [*starts[1:], len(ids)]):
+                out[k] = ids[start:end]
         # A chunk of spaces alone keeps them all: the mark before a text stands for the first.
         for k, x in zip(rest, self.whole([words[k].decode() for k in rest])):
             out[k] = x if words[k] else np.array([self._mark_id()], np.uint32)
@@ -209,16 +213,20 @@ class Codec(ChunkMemo):
 
     def verify(self, path: str, texts: Sequence[str] = PROBES) -> None:
         """ValueError where ids or decoded texts differ from the sentencepiece library's."""
+        own = self.encode(texts)
+        self.compare(path, texts, own, self.decode(own))
+
+    def compare(self, path: str, texts: Sequence[str], own: Sequence[Sequence[int]], decoded: Sequence[str]) -> None:
+        """ValueError where ids or decoded texts of texts differ from the sentencepiece library's."""
         import sentencepiece
 
-        library = sentencepiece.SentencePieceProcessor(model_file=path)
-        own = self.encode(texts)
-        for text, ids in zip(texts, own):
-            if ids != library.encode(text):
-                raise ValueError(f"ids differ from the library's on {text!r}: {ids} {library.encode(text)}")
-        for text, ids, back in zip(texts, own, self.decode(own)):
-            if back != library.decode(ids):
-                raise ValueError(f"decoded text differs from the library's on {text!r}: {back!r} {library.decode(ids)!r}")
+        if self.library is None:
+            self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        for text, ids, back in zip(texts, own, decoded):
+            if list(ids) != (want := self.library.encode(text)):
+                raise ValueError(f"ids differ from the library's on {text!r}: {ids} {want}")
+            if back != (want := self.library.decode(list(ids))):
+                raise ValueError(f"decoded text differs from the library's on {text!r}: {back!r} {want!r}")
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [x.tolist() for x in self(*common.text_buffers(pa.array(list(texts), pa.string())))]
@@ -237,9 +245,11 @@ def codec(path: str, threads: int) -> Codec:
     return _kept[path, threads]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, batch_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, batch_bytes: int = 1 << 20, verify_all: bool = False) -> DataFrame:
     """(id, n_tokens, ids, ids_crc32, decoded_sha256, round_trip) for every row, from the whole text.
 
+    With verify_all each text is encoded and decoded by the sentencepiece library too, and a difference is an error.
+
     round_trip tells whether decoding the ids gives the text back. A null or empty text has no ids and decodes to
     the empty text. Repeated rows and null ids are encoded like any; other columns aren't read. No shuffle.
     """
@@ -256,6 +266,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 raw = [x.astype("<u4", copy=False).tobytes() for x in found]
                 ids = [x.tolist() for x in found]
                 back = c.decode(ids)
+                if verify_all:
+                    c.compare(model, texts, ids, back)
                 cols = [b.column("i"), pa.array([len(x) for x in ids], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([x == y for x, y in zip(texts, back)])]
                 yield pa.RecordBatch.from_arrays(cols, names=["i", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
