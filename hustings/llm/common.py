@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hustings.plans import storage
 from hustings.plans.session import ship
 
 #: Rows per Arrow batch: bounds a worker's memory when texts are long.
@@ -20,7 +19,8 @@ ARROW_ROWS = 512
 #: The same for rows of a few numbers.
 NARROW_ROWS = 65_536
 
-_own_dirs: dict[str, str] = {}
+#: Stored tables end the lineage: a lost executor costs no recomputation.
+shared_dir, fresh_path, stored = storage.folder, storage.path, storage.stored
 
 
 def session(spark: SparkSession, arrow_rows: int = ARROW_ROWS) -> SparkSession:
@@ -32,38 +32,10 @@ def session(spark: SparkSession, arrow_rows: int = ARROW_ROWS) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset a folder of our own (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/hustings"
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="hustings-")
-    return _own_dirs[app]
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, so a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def release(*stored: DataFrame) -> None:
+def release(*tables: DataFrame) -> None:
     """Deletes tables of stored() that no later plan reads."""
-    for df in stored:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        storage.delete(df.sparkSession, df._stored_at)
 
 
 class Shelf:
