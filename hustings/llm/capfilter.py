@@ -11,7 +11,6 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from . import common
 
 #: Vectors of a filter that one step compares with each other, at most; larger filters are cut into blocks.
 BLOCK = 1_024
+#: Filters that a step looks up at once when it asks where its vectors met before.
+LOOKED_UP = 4_096
 
 
 @lru_cache(maxsize=8)
@@ -35,27 +36,56 @@ def codes(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def shape(vectors: int, per_vector: float = 24.0, filters_per_vector: float = 32.0) -> int:
+@lru_cache(maxsize=8)
+def turn(dim: int, seed: int) -> np.ndarray:
+    """A random rotation, so that no vector's two halves are special."""
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim, 2]).standard_normal((dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def shape(vectors: int, filters_per_vector: float = 32.0) -> int:
     """Codewords in a half, so that there are filters_per_vector filters for each vector and a filter's share of them stays small."""
     return max(64, math.ceil(math.sqrt(filters_per_vector * max(vectors, 1))))
 
 
-def decode(unit: np.ndarray, words: int, per_vector: float, seed: int, least: int = 8, tables: int = 2) -> list[np.ndarray]:
+def _passing(a: np.ndarray, b: np.ndarray, height: float) -> int:
+    """How many sums of a value of a and one of b reach the height; b ascending."""
+    return int((len(b) - np.searchsorted(b, height - a)).sum())
+
+
+@lru_cache(maxsize=32)
+def cap_height(dim: int, words: int, per_vector: float, seed: int, directions: int = 65) -> float:
+    """The height that per_vector filters exceed for the median of some random directions: a quantile of their own
+    scores with all filters, found by halving an interval. No product of codewords is made."""
+    one, two = codes(dim, words, seed)
+    x = np.random.default_rng([seed, dim, words, 1]).standard_normal((directions, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = x[:, : dim // 2] @ one.T, np.sort(x[:, dim // 2 :] @ two.T, axis=1)
+    heights = []
+    for p, q in zip(a, b):
+        low, high = p.min() + q[0], p.max() + q[-1]
+        for _ in range(40):
+            middle = (low + high) / 2
+            low, high = (middle, high) if _passing(p, q, middle) > per_vector else (low, middle)
+        heights.append(high)
+    return float(np.median(heights))
+
+
+def decode(unit: np.ndarray, words: int, per_vector: float, seed: int, least: int = 6, tables: int = 2) -> list[np.ndarray]:
     """The filters of each unit vector in all tables, ascending; tables have codes of their own."""
+    unit = unit @ turn(unit.shape[1], seed)
     parts = [_decode(unit, words, per_vector, seed + k, least) for k in range(tables)]
     return [np.concatenate([x + (k << 44) for k, x in enumerate(own)]) for own in zip(*parts)]
 
 
 def _decode(unit: np.ndarray, words: int, per_vector: float, seed: int, least: int) -> list[np.ndarray]:
-    """For each unit vector all filters whose score exceeds the cap's height, and at least its `least` best, ascending.
-
-    The height lets per_vector filters pass on average, by the normal tail of a random direction.
-    """
+    """For each unit vector all filters whose score exceeds the cap's height, ascending; a vector that lies far from
+    the codewords, with fewer than `least`, takes its best ones instead."""
     n, dim = unit.shape
     one, two = codes(dim, words, seed)
     half = dim // 2
     a, b = unit[:, :half] @ one.T, unit[:, half:] @ two.T
-    height = NormalDist().inv_cdf(1 - per_vector / words**2) / math.sqrt(dim) * math.sqrt(2)
+    height = cap_height(dim, words, per_vector, seed)
     most_a, most_b = a.max(1), b.max(1)
     out = []
     for k in range(n):
@@ -72,13 +102,22 @@ def _decode(unit: np.ndarray, words: int, per_vector: float, seed: int, least: i
 
 
 def _seen_before(lists: list[np.ndarray], f: int) -> np.ndarray:
-    """Which pairs of vectors share a filter below f, and so were compared there."""
+    """Which pairs of vectors share a filter below f, and so were compared there. So many filters are looked up at once
+    that the step's memory is bounded by its vectors."""
     lower = [x[x < f] for x in lists]
-    _, at = np.unique(np.concatenate(lower), return_inverse=True) if any(map(len, lower)) else (None, np.zeros(0, np.int64))
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lower])
-    has = np.zeros((len(lists), int(at.max()) + 1 if len(at) else 1), np.float32)
-    has[rows, at] = 1
-    return has @ has.T > 0
+    _, at, times = np.unique(np.concatenate(lower), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    rows, at = rows[shared], np.searchsorted(np.flatnonzero(times > 1), at[shared])
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    met = np.zeros((len(lists), len(lists)), np.float32)
+    for s in range(0, int(at[-1]) + 1 if len(at) else 0, LOOKED_UP):
+        part = slice(*np.searchsorted(at, (s, s + LOOKED_UP)))
+        has = np.zeros((len(lists), LOOKED_UP), np.float32)
+        has[rows[part], at[part] - s] = 1
+        met += has @ has.T
+    return met > 0
 
 
 def _labels(links: np.ndarray) -> np.ndarray:
@@ -123,7 +162,8 @@ def links(reps: DataFrame, least: float, per_vector: float, words: int, seed: in
                         lists[k] = x
             yield pa.RecordBatch.from_arrays([b.column("r"), b.column("m"), b.column("v"), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["r", "m", "v", "fs"])
 
-    lists = common.stored(reps.mapInArrow(expand, "r long, m long, v binary, fs array<long>"), "cap-lists")
+    shelf = common.Shelf()
+    lists = shelf.put(reps.mapInArrow(expand, "r long, m long, v binary, fs array<long>"), "cap-lists")
     spots = lists.select("r", F.explode("fs").alias("f"))
     counts = spots.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
@@ -160,19 +200,22 @@ def links(reps: DataFrame, least: float, per_vector: float, words: int, seed: in
             yield batch(step(held))
 
     out = common.stored(steps.mapInArrow(run, "r long, n long, a long, b long"), "cap-links")
-    common.session(spark)
+    shelf.close()
     return out
 
 
-def near_duplicates(table: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", per_vector: float = 24.0, seed: int = 7) -> DataFrame:
+def near_duplicates(table: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", per_vector: float = 12.0, seed: int = 7) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: vectors link when their cosine is `least` or more.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of
     different lengths with each other. Equal vectors are one class and are compared once; n_links counts all
-    their ids. A row that repeats an id and its vector adds nothing; a row without id has nulls. Other columns
-    aren't read. Every vector is indexed; recall of links comes from the number of filters per vector.
+    their ids. A row that repeats an id and its vector adds nothing. Of an id with several vectors each row counts the
+    links of its own vector, the id's other vectors being like any other's, and the id's rows are in one component. A
+    row without id has nulls. Other columns aren't read. Every vector is indexed; recall of links comes from the number
+    of filters per vector. An empty table gives no rows.
     """
-    spark = common.session(table.sparkSession, 4_096)
+    common.session(table.sparkSession, 4_096)
+    shelf = common.Shelf()
     base = table.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("e"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,15 +229,25 @@ def near_duplicates(table: DataFrame, least: float = 0.95, id_col: str = "vec_id
                 units.append((x / norm).tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["i", "d", "v"])
 
-    rows = common.stored(base.mapInArrow(read, "i long, d binary, v binary"), "cap-vectors")
+    rows = shelf.put(base.mapInArrow(read, "i long, d binary, v binary"), "cap-vectors")
     ids = rows.select("i", "d").filter("i IS NOT NULL AND d IS NOT NULL").distinct()
-    classes = common.stored(ids.groupBy("d").agg(F.min("i").alias("r"), F.count("*").alias("m")), "cap-classes")
-    firsts = classes.join(rows.withColumnRenamed("i", "r"), ["d", "r"]).dropDuplicates(["d", "r"]).select("r", "m", "v")
-    found = links(firsts, least, per_vector, shape(classes.count()), seed)
-    root = common.components(found.filter("a IS NOT NULL").select("a", "b"), "cap-components")
-    count = found.filter("r IS NOT NULL").groupBy("r").agg(F.sum("n").alias("n"))
-    placed = classes.join(count, "r", "left").join(root.withColumnRenamed("id", "r"), "r", "left")
+    classes = ids.groupBy("d").agg(F.min("i").alias("r"), F.count("*").alias("m"))
+    classes = shelf.put(classes.withColumn("q", F.monotonically_increasing_id()), "cap-classes")
+    firsts = classes.join(rows.withColumnRenamed("i", "r"), ["d", "r"]).dropDuplicates(["q"]).select(F.col("q").alias("r"), "m", "v")
+    found = shelf.take(links(firsts, least, per_vector, shape(classes.count()), seed))
+    edges = found.filter("a IS NOT NULL").select("a", "b")
+    for end in "ab":
+        edges = edges.join(classes.select(F.col("q").alias(end), F.col("r").alias(f"r{end}")), end)
+    several = ids.groupBy("i").agg(F.count("*").alias("k")).filter("k > 1").select("i")
+    own = ids.join(several, "i").join(classes.select("d", "r"), "d").select(F.col("i").alias("a"), F.col("r").alias("b"))
+    root = shelf.take(common.components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(own), "cap-components"))
+    count = found.filter("r IS NOT NULL").groupBy(F.col("r").alias("q")).agg(F.sum("n").alias("n"))
+    placed = classes.join(count, "q", "left").join(root.withColumnRenamed("id", "r"), "r", "left")
     placed = placed.select("d", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "r").alias("c"))
     out = rows.select("i", "d").join(placed, "d", "left")
     component = F.when(F.col("i").isNotNull(), F.coalesce("c", "i"))
-    return out.select(F.col("i").alias(id_col), F.when(F.col("i").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_links"), component.alias("component_id"), (F.col("i") == component).alias("kept"))
+    out = out.select(F.col("i").alias(id_col), F.when(F.col("i").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_links"), component.alias("component_id"), (F.col("i") == component).alias("kept"))
+    out = common.stored(out, "cap-result")
+    shelf.close()
+    common.session(table.sparkSession)
+    return out
