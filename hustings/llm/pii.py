@@ -121,7 +121,7 @@ class Network:
         self.w = {k: v.astype(np.float32) for k, v in weights.items()}
         self.hidden = self.w["uf"].shape[0]
 
-    def states(self, x: np.ndarray, side: str, over: Sequence[int]) -> np.ndarray:
+    def states(self, x: np.ndarray, side: str, over: Sequence[int] = ()) -> np.ndarray:
         """(time, hidden, rows) states of class indices (time, rows), read forward for side f or backward for b. The
         first over[t] rows have ended before t, so what stands there changes no state within a row."""
         time, rows = x.shape
@@ -146,13 +146,12 @@ class Network:
             last = out[t]
             np.tanh(cell, out=last)
             last *= g[h : 2 * h]
-            if over[t]:
+            if over and over[t]:
                 last[:, : over[t]] = cell[:, : over[t]] = 0
         return out
 
-    def emissions(self, x: np.ndarray, over: Sequence[int] | None = None) -> np.ndarray:
+    def emissions(self, x: np.ndarray, over: Sequence[int] = ()) -> np.ndarray:
         """(time, tags, rows) scores of each tag for class indices (time, rows)."""
-        over = over or [0] * len(x)
         e = np.matmul(self.w["ef"].T, self.states(x, "f", over))
         e += np.matmul(self.w["eb"].T, self.states(x, "b", over))
         e += self.w["e0"][None, :, None]
