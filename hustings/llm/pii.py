@@ -290,9 +290,9 @@ def written(spans: Sequence[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row, from the whole text.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base_spans) for every row, from the whole text.
 
-    Counts and spans are of all spans, the hash of the fixed ones. A null or empty text has none. Repeated rows and
+    Counts and spans are of all spans, the hash and base_spans of the fixed ones. A null or empty text has none. Repeated rows and
     null ids are read like any; other columns aren't. One pass, no shuffle; memory is bounded by batch_bytes or the
     longest text.
     """
@@ -307,11 +307,13 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
             for b in common.pieces(whole, "t", batch_bytes):
                 found = detect_texts(network, common.texts(b.column("t")), least)
                 counts = [pa.array([sum(s[1] == k for s in spans) for _, spans in found], pa.int64()) for k in range(len(KINDS))]
-                digest = pa.array([hashlib.sha256(written(fixed).encode()).hexdigest() for fixed, _ in found])
-                yield pa.RecordBatch.from_arrays([b.column("i"), *counts, digest, pa.array([written(spans) for _, spans in found])], names=["i", *names, "base_sha256", "spans"])
+                base_spans = [written(fixed) for fixed, _ in found]
+                digest = [hashlib.sha256(s.encode()).hexdigest() for s in base_spans]
+                said = [pa.array(x, pa.string()) for x in (digest, [written(spans) for _, spans in found], base_spans)]
+                yield pa.RecordBatch.from_arrays([b.column("i"), *counts, *said], names=["i", *names, "base_sha256", "spans", "base_spans"])
 
     columns = ", ".join(f"{n} long" for n in names)
-    return base.mapInArrow(run, f"i {kind}, {columns}, base_sha256 string, spans string").withColumnRenamed("i", id_col)
+    return base.mapInArrow(run, f"i {kind}, {columns}, base_sha256 string, spans string, base_spans string").withColumnRenamed("i", id_col)
 
 
 def masked(text: str, spans: Sequence[tuple[int, int, int]]) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import capfilter, htmltext, jaccard, lattice, media, packing, pii, sentencepieces, toxicity, urlfilter
 
@@ -69,7 +70,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(_table(spark, sf_dir, "documents"))
+    """The counts are of the fixed patterns, like the hash; those of all spans are in spans."""
+    found = pii.detect(_table(spark, sf_dir, "documents"))
+    return found.withColumns({f"n_{k}": F.regexp_count("base_spans", F.lit(f"{k}:")).cast("long") for k in pii.KINDS})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

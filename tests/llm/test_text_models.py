@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from hustings.llm import htmltext, html_train, lattice, pii, pii_train, sentencepieces, toxicity, urlfilter
+from hustings.llm import htmltext, html_train, lattice, pii, pii_train, queries, sentencepieces, toxicity, urlfilter
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -397,6 +397,19 @@ def test_whole_query_against_plain_decoding(spark):
     assert added > 5
 
 
+def test_query_counts_fixed_patterns_alone(spark, tmp_path):
+    """Spans that the network adds are in spans, not in the counts of the contract."""
+    r = random.Random(4)
+    texts = [pii_train.sample(r, n)[0] for n in (400, 1500, 3000)] + [None, "", "a@b.cd 1.2.3.4 +1 212 555 0100 4591 7180 9928 7256 e@f.gh"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_pii(spark, str(tmp_path)).collect()
+    for x in rows:
+        base = base_spans(texts[x.doc_id] or "")
+        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(sum(s[1] == k for s in base) for k in range(4))
+        assert x.base_spans == pii.written(base) and x.base_sha256 == hashlib.sha256(x.base_spans.encode()).hexdigest()
+    assert len(rows) == len(texts) and any(len(x.spans) > len(x.base_spans) for x in rows)
+
+
 def test_network_finds_unusual_forms():
     precision, recall = pii_train.accuracy({k: v for k, v in pii.load().w.items()}, 100)
     assert precision > 0.95 and recall > 0.85
