@@ -7,13 +7,15 @@ asked for, each inverted list first proposes a chain and a star, and then one me
 each of the others; what these link is verified once, and then only pairs in different components are still
 candidates, all of which are verified. So a group of m near copies costs about m verifications, not m * m, and no
 link between components is lost. Before whole sets are compared, counts of their shingles by bucket bound the number
-of shared ones from above; most pairs end there, and only the texts of the others move.
+of shared ones from above; most pairs end there, and only the texts of the others move. Members that stay in different
+components are verified in blocks of their list, so what moves are members of blocks, not members of pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ PAIR_ROWS, PAIR_BYTES = 64, 1 << 20
 #: Members from which a list is long, and long lists of a document that are kept beside each of its rows, at most;
 #: documents on more of them make their pairs on every list.
 LONG_LIST, MOST_LISTS = 256, 512
+#: Members of a list in a block; what is left is verified between two blocks at a time.
+BLOCK = 128
+#: The columns of a pair that name its list and its two blocks there.
+SPOT = ("h", "p", "q")
 
 
 def _digest(x: np.ndarray) -> bytes:
@@ -226,8 +232,36 @@ def _links(n: int, m: int, shared: int, percent: int) -> bool:
     return shared > 0 and 100 * shared >= percent * (n + m - shared)
 
 
+def _named_in(pairs: DataFrame) -> DataFrame:
+    """(h, p, q, i): the documents that the pairs (h, p, q, a, b) of each two blocks name, once each."""
+    return pairs.select(*SPOT, F.col("a").alias("i")).union(pairs.select(*SPOT, "b")).distinct()
+
+
+def _in_blocks(pairs: DataFrame, rows: DataFrame, value: Callable, links: Callable, percent: int) -> DataFrame:
+    """The pairs (h, p, q, a, b) of which some values link. A row (i, ...) moves once for two blocks that need it, not
+    for each pair; value gives (i, size, value) of such rows, links the shared elements of two sizes and values at most."""
+
+    def run(these: pa.Table, held: pa.Table) -> pa.Table:
+        own = defaultdict(list)
+        for b in held.to_batches():
+            for i, n, x in value(b):
+                if n:
+                    own[i].append((n, x))
+        a, b = these["a"].to_pylist(), these["b"].to_pylist()
+        keep = [any(_links(n, m, links(x, n, y, m), percent) for n, x in own[i] for m, y in own[j]) for i, j in zip(a, b)]
+        return these.select([*SPOT, "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = _named_in(pairs).join(rows.hint("merge"), "i").withColumnsRenamed({k: f"_{k}" for k in SPOT})
+    return pairs.groupBy(*SPOT).cogroup(held.groupBy(*[f"_{k}" for k in SPOT])).applyInArrow(run, "h long, p int, q int, a long, b long")
+
+
 def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches allow a link; sketches: (i, n, k), of stored tables both."""
+    if "h" in pairs.columns:
+        def value(b: pa.RecordBatch) -> Iterator[tuple]:
+            return zip(*(b.column(c).to_pylist() for c in ("i", "n", "k")))
+
+        return _in_blocks(pairs, sketches, value, most_shared, percent)
     left, right = (sketches.select(F.col("i").alias(s), F.struct("n", "k").alias(f"k{s}")).hint("merge") for s in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka.n", "ka.k", F.col("kb.n").alias("m"), F.col("kb.k").alias("j"))
 
@@ -241,7 +275,9 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets link, as a stored table; pairs must be one too."""
+    """The pairs (a, b) of ids whose whole sets link, as a stored table; pairs must be one too. Pairs (h, p, q, a, b) are
+    verified in blocks."""
+    blocks = "h" in pairs.columns
     spark = common.session(docs.sparkSession)
     shelf = common.Shelf()
     pairs = shelf.put(_plausible(pairs, sketches, percent), "jaccard-plausible")
@@ -255,7 +291,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int,
 
     texts = shelf.put(docs.withColumn("k", _spot(F.col("i"))).mapInArrow(some, "i long, t string"), "jaccard-texts")
     left, right = (texts.select(F.col("i").alias(k), F.col("t").alias(f"t{k}")).hint("merge") for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+
+    def value(b: pa.RecordBatch) -> Iterator[tuple]:
+        for part, found in shingles.of_batch(b, "t", size):
+            yield from zip(part.column("i").to_pylist(), map(len, found), found)
+
+    def shared(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
+        return len(np.intersect1d(x, y, assume_unique=True))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,9 +307,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int,
                     keep += [_links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent) for x, y in zip(xs, ys)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    common.session(spark, PAIR_ROWS)
-    out = common.stored(both.mapInArrow(check, "a long, b long").distinct(), "jaccard-links")
-    common.session(spark)
+    if blocks:
+        out = common.stored(_in_blocks(pairs, texts, value, shared, percent).select("a", "b"), "jaccard-links")
+    else:
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+        common.session(spark, PAIR_ROWS)
+        out = common.stored(both.mapInArrow(check, "a long, b long").distinct(), "jaccard-links")
+        common.session(spark)
     shelf.close()
     common.tidy(spark)
     return out
@@ -361,7 +407,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     a, b = spots.filter("c <> top").alias("a"), spots.alias("b")
     both = (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.top")) | (F.col("a.x") < F.col("b.x")))
     here = F.coalesce(F.array_intersect("a.hs", "b.hs")[0] == F.col("a.h"), F.lit(True))
-    rest = a.join(b, both & _fits("a.n", "a.pos", "b.n", "b.pos", percent) & here).select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b")).distinct()
+    rest = a.join(b, both & _fits("a.n", "a.pos", "b.n", "b.pos", percent) & here).select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b"), F.struct("a.m", "a.h").alias("s"))
+    rest = rest.groupBy("a", "b").agg(F.max("s").alias("s"))  # of a pair's lists, the longest
+    block = [F.pmod(F.xxhash64(k), F.ceil(F.col("s.m") / BLOCK)).cast("int").alias(s) for k, s in zip("ab", SPOT[1:])]
+    rest = rest.select(F.col("s.h").alias("h"), *block, "a", "b")
     rest = shelf.put(rest.join(proposed.union(tried), ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.take(1):
         root = shelf.take(common.components(links.union(shelf.take(_verified(known, rest, sketches, size, percent))), "jaccard-components"))

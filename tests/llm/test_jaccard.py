@@ -96,6 +96,19 @@ def test_a_large_group_of_near_copies(spark, docs):
     same(spark, docs(near_copies(2, 2, 60, 6)))
 
 
+def test_pairs_in_blocks_are_verified_like_others(spark, docs):
+    """The same links, while what moves are members of blocks, not of pairs."""
+    texts = near_copies(2, 1, 60, 6)[:30] + ["", "a b c"]
+    base = docs(texts, first=0).selectExpr("doc_id AS i", "text AS t")
+    sketches = jaccard._described(base, np.zeros(1 << jaccard.LEVEL_BITS, np.uint8), 5, 75).select("i", "n", "k")
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    blocks = spark.createDataFrame([(7, a % 2, b % 2, a, b) for a, b in pairs], "h long, p int, q int, a long, b long")
+    sets = [sets_of(t) for t in texts]
+    want = {(a, b) for a, b in pairs if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want and {(r.a, r.b) for r in jaccard._verified(base, blocks, sketches, 5, 75).collect()} == want
+    assert jaccard._named_in(blocks).count() < len(pairs) / 2
+
+
 def test_rows_of_one_id_are_one_document(spark, docs):
     a, b = docs(["a b c d e f g"], first=1), docs(["q r s t u v w"], first=1)
     got = {tuple(r) for r in jaccard.link(a.union(b).union(docs(["q r s t u v w"], first=9))).collect()}
