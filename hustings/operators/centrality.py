@@ -146,16 +146,17 @@ def paths(edges: DataFrame, weighted: bool = False, nodes: DataFrame | None = No
     return found.join(names, "id").select("node", (F.col("b") * scale).alias("betweenness"), F.col("c").alias("closeness"))
 
 
-def eigenvector(edges: DataFrame, weighted: bool = False, rounds: int = 200) -> DataFrame:
+def eigenvector(edges: DataFrame, weighted: bool = False, rounds: int = 200, settled: float = 1e-12) -> DataFrame:
     """(node, eigenvector): power iteration on A + 1 from equal values, unit length, so all are non-negative. On a graph
-    of several components the one of largest eigenvalue prevails."""
+    of several components the one of largest eigenvalue prevails. It ends after `rounds` rounds, or when none of its
+    values moves by `settled`; with 0 every round is taken."""
     g = collected(edges)
     n = len(g.names)
     x, weight = np.full(n, 1.0), g.weight if weighted else np.ones(len(g.weight))
     for _ in range(rounds if n else 0):
         now = x + np.bincount(g.owner, weight * x[g.near], n)
         now /= np.linalg.norm(now)
-        if np.abs(now - x).max() < 1e-12:
+        if np.abs(now - x).max() < settled:
             break
         x = now
     return edges.sparkSession.createDataFrame([(name, float(v)) for name, v in zip(g.names, x)], "node string, eigenvector double")

@@ -50,6 +50,25 @@ def test_communities(spark):
     assert sizes == {1: (3, "c; a; b"), 2: (3, "d; e; f")}
 
 
+def test_eigenvector_takes_as_many_rounds_as_its_sql(spark, tmp_path):
+    """On a long chain power iteration settles late: the query's values are those of its SQL's rounds."""
+    import datetime
+
+    import duckdb
+
+    from hustings.plans import catalog
+
+    day = datetime.datetime(2024, 1, 1)
+    steps = [u for k in range(40) for u in (k, k + 1, k, k + 1)]
+    rows = [(i, day + datetime.timedelta(seconds=i), u, "view") for i, u in enumerate(steps)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.execute(catalog.oracle_sql()["eigenvector"]).fetchall())
+    got = {r.node: r.eigenvector for r in catalog.queries()["eigenvector"](spark, str(tmp_path)).collect()}
+    assert len(want) == 41 and got == pytest.approx(want, abs=1e-9)
+
+
 def test_too_large_a_graph_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(centrality, "MOST_EDGES", 2)
     with pytest.raises(ValueError, match="more than"):
