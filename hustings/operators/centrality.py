@@ -1,18 +1,19 @@
-"""Centrality and communities of graphs whose nodes fit a worker; a larger graph is an error, never a sample.
+"""Centrality and communities of graphs whose arcs fit a worker; nothing is sampled.
 
 Strength and degree are aggregates. Paths are counted source by source: sources are dealt over tasks, each with the
-whole adjacency as three arrays, and their partial sums are added up. MOST_EDGES edges are 120 MB there. Eigenvectors
-and communities take one pass after the other over these arrays on the driver.
+whole adjacency as three arrays of 24 bytes an edge, and their partial sums are added up. Eigenvectors take one pass
+after the other over these arrays on the driver, and so do communities, which refuse graphs beyond MOST_EDGES.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,33 +21,61 @@ from hustings.plans.session import ship
 
 from .network import ego, symmetric
 
-#: Edges that a worker may hold.
+#: Edges that communities take.
 MOST_EDGES = 5_000_000
 
 
+def _strings(x: Sequence[str] | pa.ChunkedArray) -> pa.Array:
+    x = x if isinstance(x, pa.ChunkedArray) else pa.chunked_array([pa.array(list(x), pa.string())])
+    return x.cast(pa.large_string()).combine_chunks()
+
+
 class Graph:
     """Names in order; node v's neighbours and weights are near[at[v] : at[v + 1]] and weight[at[v] : at[v + 1]]."""
 
     def __init__(self, src: Sequence[str], dst: Sequence[str], weight: Sequence[float], nodes: Sequence[str] = ()):
-        ends = [np.array(list(x), dtype=object) for x in (src, dst)]
-        self.names: list[str] = sorted({*nodes, *ends[0], *ends[1]})
-        place = {n: k for k, n in enumerate(self.names)}
-        a, b = (np.fromiter((place[n] for n in x), np.int32, len(x)) for x in ends)
+        src, dst, nodes = (_strings(x) for x in (src, dst, nodes))
+        names = pc.unique(pa.concat_arrays([pc.unique(x) for x in (src, dst, nodes)]))
+        names = names.take(pc.sort_indices(names))
+        self.names: list[str] = names.to_pylist()
+        a, b = (pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False) for x in (src, dst))
         w = np.asarray(weight, np.float64)
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         order = np.lexsort((target, source))
         self.near, self.weight = target[order], np.concatenate([w, w])[order]
         self.at = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(self.names)))]).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(self.names)), np.diff(self.at))
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.names)), np.diff(self.at))
+
+
+class Arcs:
+    """A graph's arcs for from_source: their lengths, the least of each node and of all, sizes of components seen."""
+
+    def __init__(self, g: Graph, weighted: bool):
+        n = len(g.names)
+        self.at, self.near, self.length, self.least = g.at, g.near, None, np.ones(n)
+        if weighted:
+            with np.errstate(divide="ignore"):
+                self.length, some = 1 / g.weight, np.flatnonzero(np.diff(g.at))
+            self.least[some] = np.minimum.reduceat(self.length, g.at[some]) if len(some) else 1.0
+        self.shortest = float(self.least.min(initial=1.0)) if self.length is None or not len(self.length) else float(self.length.min())
+        self.size = np.zeros(n, np.int64)
+
+
+def whole(edges: DataFrame, nodes: DataFrame | None = None) -> Graph:
+    """The graph on the driver, however large; it needs some 200 bytes an edge there for a time."""
+    rows = edges.select("src", "dst", F.col("weight").cast("double")).toArrow()
+    extra = nodes.toArrow().column(0) if nodes is not None else ()
+    return Graph(rows["src"], rows["dst"], rows["weight"].to_numpy(), extra)
 
 
 def collected(edges: DataFrame, nodes: DataFrame | None = None) -> Graph:
     """The graph on the driver; ValueError beyond MOST_EDGES."""
-    rows = edges.select("src", "dst", F.col("weight").cast("double")).limit(MOST_EDGES + 1).toArrow()
-    extra = [r[0] for r in nodes.limit(MOST_EDGES + 1).collect()] if nodes is not None else []
-    if max(rows.num_rows, len(extra)) > MOST_EDGES:
+    if max(df.limit(MOST_EDGES + 1).count() for df in (edges, nodes) if df is not None) > MOST_EDGES:
         raise ValueError(f"the graph has more than {MOST_EDGES} edges or nodes")
-    return Graph(rows["src"].to_pylist(), rows["dst"].to_pylist(), rows["weight"].to_numpy(), extra)
+    return whole(edges, nodes)
 
 
 def strength(edges: DataFrame) -> DataFrame:
@@ -56,101 +85,103 @@ def strength(edges: DataFrame) -> DataFrame:
     return by.withColumns({"degree_centrality": F.try_divide(F.col("degree").cast("double"), others), "mean_strength": F.try_divide(F.col("strength").cast("double"), others)})
 
 
-def _spread(g: Graph, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ends of all arcs from some nodes: (which of the nodes, neighbour)."""
+def _spread(g: Arcs, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All arcs from some nodes: (which of the nodes, place of the arc)."""
     count = g.at[nodes + 1] - g.at[nodes]
-    which = np.repeat(np.arange(len(nodes)), count)
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return which, g.near[np.repeat(g.at[nodes], count) + within]
-
-
-def _levels(g: Graph, s: int) -> tuple[np.ndarray, float, int]:
-    """from_source without weights: whole levels of the breadth-first search at a time."""
-    n = len(g.names)
-    dist, paths, share = np.full(n, -1), np.zeros(n), np.zeros(n)
-    dist[s], paths[s] = 0, 1.0
-    levels = [np.array([s])]
-    while len(levels[-1]):
-        which, to = _spread(g, levels[-1])
-        dist[to[dist[to] < 0]] = len(levels)
-        onward = dist[to] == len(levels)
-        paths += np.bincount(to[onward], paths[levels[-1]][which[onward]], n)
-        levels.append(np.unique(to[onward]))
-    for k in range(len(levels) - 2, 0, -1):
-        which, to = _spread(g, levels[k])
-        back = dist[to] == k - 1
-        own = levels[k][which[back]]
-        share += np.bincount(to[back], paths[to[back]] / paths[own] * (1 + share[own]), n)
-    share[s] = 0
-    reached = dist >= 0
-    return share, float(dist[reached].sum()), int(reached.sum())
-
-
-def from_source(g: Graph, s: int, weighted: bool) -> tuple[np.ndarray, float, int]:
-    """Brandes' dependencies of one source, the sum of distances from it and the nodes reached; distance is 1 / weight."""
-    if not weighted:
-        return _levels(g, s)
-    n = len(g.names)
-    dist, paths, order = np.full(n, np.inf), np.zeros(n), []
-    before: list[list[int]] = [[] for _ in range(n)]
-    dist[s], paths[s] = 0.0, 1.0
-    done, heap = np.zeros(n, bool), [(0.0, s)]
-    while heap:
-        d, v = heapq.heappop(heap)
-        if done[v]:
+    return np.repeat(np.arange(len(nodes)), count), np.arange(count.sum()) + np.repeat(g.at[nodes] - (np.cumsum(count) - count), count)
+
+
+def from_source(g: Arcs, s: int) -> tuple[np.ndarray, float, int]:
+    """Brandes' dependencies of one source, the sum of distances from it and the nodes reached.
+
+    Nodes are settled by bands of distance that are as wide as the shortest arc, so no node of a band lies on a path to
+    another; without weights a band is a level of the breadth-first search. Once the component is reached, nodes whose
+    arcs are all too long to matter are passed over.
+    """
+    n = len(g.at) - 1
+    dist, paths = np.full(n, np.inf), np.zeros(n)
+    dist[s], paths[s], reached = 0.0, 1.0, 1
+    bands, ahead = [], np.array([s])
+    while len(ahead):
+        d = dist[ahead]
+        slack = 1e-12 * max(1.0, d.max())
+        near = (d < d.min() + g.shortest - slack) | (d == d.min())
+        at, ahead = ahead[near], ahead[~near]
+        if reached == g.size[s]:
+            at = at[dist[at] + g.least[at] <= dist[ahead].max(initial=-1.0) + slack]
+        if not len(at):
             continue
-        done[v] = True
-        order.append(v)
-        own = slice(g.at[v], g.at[v + 1])
-        near = g.near[own]
-        to = d + 1 / g.weight[own]
-        slack = 1e-12 * np.maximum(1.0, to)
-        closer = ~done[near] & (to < dist[near] - slack)
-        equal = ~done[near] & ~closer & (np.abs(to - dist[near]) <= slack)
-        for u, t in zip(near[closer].tolist(), to[closer].tolist()):
-            dist[u], paths[u], before[u] = t, paths[v], [v]
-            heapq.heappush(heap, (t, u))
-        for u in near[equal].tolist():
-            paths[u] += paths[v]
-            before[u].append(v)
+        which, arcs = _spread(g, at)
+        to = g.near[arcs]
+        cand = dist[at][which] + (1.0 if g.length is None else g.length[arcs])
+        fits = (cand <= dist[to] + slack) & (cand < np.inf)
+        which, to, cand = which[fits], to[fits], cand[fits]
+        before = dist[to]
+        if g.length is None:
+            dist[to] = cand
+        else:
+            np.minimum.at(dist, to, cand)
+        paths[to[dist[to] < before - slack]] = 0
+        good = cand <= dist[to] + slack
+        new = np.zeros(n, bool)
+        new[to[before == np.inf]] = True
+        fresh = np.flatnonzero(new)
+        reached += len(fresh)
+        ahead = np.concatenate([ahead, fresh])
+        which, to, cand = which[good], to[good], cand[good]
+        np.add.at(paths, to, paths[at][which])
+        bands.append((at, which, to, cand, slack))
     share = np.zeros(n)
-    for v in reversed(order):
-        for u in before[v]:
-            share[u] += paths[u] / paths[v] * (1 + share[v])
+    for at, which, to, cand, slack in reversed(bands):
+        last = cand <= dist[to] + slack
+        which, to = which[last], to[last]
+        share[at] = paths[at] * np.bincount(which, ((1 + share) / np.maximum(paths, 1))[to] if len(to) > n else (1 + share[to]) / paths[to], len(at))
     share[s] = 0
-    return share, float(dist[order].sum()), len(order)
+    seen = dist < np.inf
+    g.size[seen] = reached
+    return share, float(dist[seen].sum()), reached
 
 
 def paths(edges: DataFrame, weighted: bool = False, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, betweenness, closeness), normalised; closeness is scaled by the share of nodes reached."""
-    spark = ship(edges.sparkSession)
-    graph = collected(edges, nodes)
-    n = len(graph.names)
-    sent = spark.sparkContext.broadcast(graph)
+    """(node, betweenness, closeness), normalised; closeness is scaled by the share of nodes reached; distance is 1 / weight."""
+    return _paths(edges.sparkSession, whole(edges, nodes), weighted)
+
+
+def _paths(spark: SparkSession, graph: Graph, weighted: bool) -> DataFrame:
+    ship(spark)
+    n, tasks = len(graph.names), 4 * spark.sparkContext.defaultParallelism
+    sent = spark.sparkContext.broadcast(Arcs(graph, weighted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = sent.value
         total, ids, close = np.zeros(n), [], []
         for b in batches:
             for s in b.column("id").to_pylist():
-                share, far, reached = from_source(g, s, weighted)
+                share, far, reached = from_source(g, s)
                 total += share
                 ids.append(s)
                 close.append((reached - 1) / far * (reached - 1) / (n - 1) if far > 0 and n > 1 else 0.0)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(ids, np.int64), some])), pa.array(np.concatenate([np.zeros(len(ids)), total[some]])), pa.array(close + [0.0] * len(some), pa.float64())], names=["id", "b", "c"])
 
-    found = spark.range(n).mapInArrow(run, "id long, b double, c double").groupBy("id").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    found = spark.range(0, n, 1, max(1, min(tasks, n))).mapInArrow(run, "id long, b double, c double").groupBy("id").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    names = spark.createDataFrame(list(enumerate(graph.names)), "id long, node string") if n else spark.createDataFrame([], "id long, node string")
-    return found.join(names, "id").select("node", (F.col("b") * scale).alias("betweenness"), F.col("c").alias("closeness"))
+    return found.join(_numbered(spark, graph), "id").select("node", (F.col("b") * scale).alias("betweenness"), F.col("c").alias("closeness"))
+
+
+def _numbered(spark: SparkSession, graph: Graph) -> DataFrame:
+    n = len(graph.names)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(n), pa.int64()), "node": pa.array(graph.names, pa.string())}))
 
 
 def eigenvector(edges: DataFrame, weighted: bool = False, rounds: int = 200, settled: float = 1e-12) -> DataFrame:
     """(node, eigenvector): power iteration on A + 1 from equal values, unit length, so all are non-negative. On a graph
     of several components the one of largest eigenvalue prevails. It ends after `rounds` rounds, or when none of its
     values moves by `settled`; with 0 every round is taken."""
-    g = collected(edges)
+    return _eigenvector(edges.sparkSession, whole(edges), weighted, rounds, settled)
+
+
+def _eigenvector(spark: SparkSession, g: Graph, weighted: bool, rounds: int = 200, settled: float = 1e-12) -> DataFrame:
     n = len(g.names)
     x, weight = np.full(n, 1.0), g.weight if weighted else np.ones(len(g.weight))
     for _ in range(rounds if n else 0):
@@ -159,7 +190,7 @@ def eigenvector(edges: DataFrame, weighted: bool = False, rounds: int = 200, set
         if np.abs(now - x).max() < settled:
             break
         x = now
-    return edges.sparkSession.createDataFrame([(name, float(v)) for name, v in zip(g.names, x)], "node string, eigenvector double")
+    return spark.createDataFrame(pa.table({"node": pa.array(g.names, pa.string()), "eigenvector": pa.array(x, pa.float64())}))
 
 
 def ranks(table: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -172,16 +203,18 @@ def ranks(table: DataFrame, metrics: Sequence[str]) -> DataFrame:
 METRICS = ("degree_centrality", "strength", "betweenness", "weighted_betweenness", "closeness", "weighted_closeness", "eigenvector", "weighted_eigenvector")
 
 
-def centrality_table(edges: DataFrame, nodes: DataFrame, node: str = "node", order: Sequence[Column] = ()) -> DataFrame:
-    """nodes with all metrics and their eight ranks, weighted betweenness, strength and `order` first. Nodes without an
-    edge have zeros."""
-    named = nodes.withColumnRenamed(node, "node")
-    out = named.join(strength(edges), "node", "left")
+def centrality_table(edges: DataFrame, nodes: DataFrame, node: str = "node", order: Sequence[Column] = (), metrics: Sequence[str] = METRICS) -> DataFrame:
+    """nodes with all metrics and their ranks, or with those of `metrics`; weighted betweenness, strength and `order` first.
+    Nodes without an edge have zeros. The graph is collected once; edges should be a stored table."""
+    spark, named = edges.sparkSession, nodes.withColumnRenamed(node, "node")
+    out, graph = named.join(strength(edges), "node", "left"), whole(edges, named.select("node"))
+    linked = whole(edges) if {"eigenvector", "weighted_eigenvector"} & {*metrics} else None
     for weighted, name in ((False, ""), (True, "weighted_")):
-        out = out.join(paths(edges, weighted, named.select("node")).withColumnsRenamed({"betweenness": f"{name}betweenness", "closeness": f"{name}closeness"}), "node", "left")
-        out = out.join(eigenvector(edges, weighted).withColumnRenamed("eigenvector", f"{name}eigenvector"), "node", "left")
-    out = out.na.fill(0, ["degree", *METRICS, "mean_strength"])
-    return ranks(out, METRICS).orderBy(F.desc("weighted_betweenness"), F.desc("strength"), *order, "node")
+        out = out.join(_paths(spark, graph, weighted).withColumnsRenamed({"betweenness": f"{name}betweenness", "closeness": f"{name}closeness"}), "node", "left")
+        if f"{name}eigenvector" in metrics:
+            out = out.join(_eigenvector(spark, linked, weighted).withColumnRenamed("eigenvector", f"{name}eigenvector"), "node", "left")
+    out = out.na.fill(0, ["degree", *metrics, "mean_strength"])
+    return ranks(out, metrics).orderBy(F.desc("weighted_betweenness"), F.desc("strength"), *order, "node")
 
 
 def ego_networks(edges: DataFrame, table: DataFrame, metrics: Sequence[str] = METRICS, n: int = 12) -> DataFrame:

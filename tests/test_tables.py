@@ -75,6 +75,47 @@ def test_too_large_a_graph_is_an_error(spark, monkeypatch):
         centrality.collected(edges(spark, PATH))
 
 
+def test_centrality_table_takes_any_number_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "MOST_EDGES", 2)
+    got = {r.node: r for r in centrality.centrality_table(edges(spark, PATH), spark.createDataFrame([(x,) for x in "abcdz"], "node string")).collect()}
+    assert got["b"].betweenness == pytest.approx(4 / (4 * 3)) and got["z"].closeness == 0 and got["b"].betweenness_rank == 1
+    assert got["d"].weighted_closeness == pytest.approx(3 / (0.5 + 1.5 + 2.5) * 3 / 4)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_dependencies_against_path_by_path_counts(weighted):
+    """Betweenness from distances and path counts of all pairs by Floyd and Warshall, on graphs of several components with ties."""
+    import itertools
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(5)
+    for n in (2, 7, 12, 20):
+        pairs = [p for p in itertools.combinations(range(n), 2) if rng.random() < 0.25 and (p[0] < n // 3) == (p[1] < n // 3)]
+        g = centrality.Graph([f"{a:02}" for a, _ in pairs], [f"{b:02}" for _, b in pairs], [rng.choice([1, 2, 2, 3, 6]) for _ in pairs], [f"{v:02}" for v in range(n)])
+        far = [[Fraction(0) if u == v else None for v in range(n)] for u in range(n)]
+        for u, v, w in zip(g.owner.tolist(), g.near.tolist(), g.weight.tolist()):
+            far[u][v] = Fraction(1, int(w)) if weighted else Fraction(1)
+        arc = [row[:] for row in far]
+        for k, u, v in itertools.product(range(n), repeat=3):
+            if far[u][k] is not None and far[k][v] is not None and (far[u][v] is None or far[u][k] + far[k][v] < far[u][v]):
+                far[u][v] = far[u][k] + far[k][v]
+        arcs = centrality.Arcs(g, weighted)
+        for s in range(n):
+            reach = sorted((v for v in range(n) if far[s][v] is not None), key=lambda v: far[s][v])
+            count, share = {s: 1}, [Fraction(0)] * n
+            before = {v: [u for u in reach if u != v and arc[u][v] is not None and far[s][u] + arc[u][v] == far[s][v]] for v in reach}
+            for v in reach[1:]:
+                count[v] = sum(count[u] for u in before[v])
+            for v in reversed(reach[1:]):
+                for u in before[v]:
+                    share[u] += Fraction(count[u], count[v]) * (1 + share[v])
+            share[s] = Fraction(0)
+            got = centrality.from_source(arcs, s)
+            assert got[0].tolist() == pytest.approx([float(x) for x in share]) and got[2] == len(reach)
+            assert got[1] == pytest.approx(float(sum(far[s][v] for v in reach)))
+
+
 def test_adjacency(spark):
     rows = [(1, k, s) for k, s in enumerate(["a", "b", "", "b", "a", None, "c"])] + [(2, 0, "c"), (2, 1, "a")]
     got = network.adjacency(spark.createDataFrame(rows, "m int, k int, s string"), ["m"], ["k"], "s").collect()
