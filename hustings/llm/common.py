@@ -62,11 +62,20 @@ class Shelf:
         self.held = []
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collects the garbage of every executor: a task for each core, which asks its JVM to. A collector gives memory back to
+    the machine only then, so what one step left counts until it is told."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, as it does when the driver's
-    garbage is collected."""
+    garbage is collected. Then the executors' is, where they aren't the driver."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        collect_garbage(spark)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

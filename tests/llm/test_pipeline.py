@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hustings.llm import jaccard, pii, queries, toxicity
+from hustings.llm import common, jaccard, pii, queries, toxicity
 
 INSULTS = ["clodpole", "numbnut", "wretch"]
 
@@ -70,6 +70,23 @@ def test_run_packs_what_is_kept(spark, corpus):
     assert sorted((str(r.doc_id), r.n) for r in got) == want
 
 
+def test_stages_start_on_collected_executors(spark, corpus, monkeypatch):
+    docs, seen = spark.read.parquet(f"{corpus}/documents.parquet").limit(5).cache(), []
+    monkeypatch.setattr(common, "tidy", lambda s: seen.append(s))
+    for name, stage in corpus_pipeline.STAGES:
+        seen.clear()
+        stage(spark, docs, corpus)
+        assert seen, name
+
+
+def test_executors_collect_their_garbage(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = [b for b in beans if "Young" not in b.getName() and "Copy" != b.getName()]
+    before = sum(b.getCollectionCount() for b in old)
+    common.collect_garbage(spark)
+    assert sum(b.getCollectionCount() for b in old) > before
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
