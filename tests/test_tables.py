@@ -2,6 +2,7 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,39 @@ def test_dependencies_against_path_by_path_counts(weighted):
             assert got[1] == pytest.approx(float(sum(far[s][v] for v in reach)))
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("sums", [False, True])
+def test_paths_of_many_sources_at_once(monkeypatch, weighted, sums):
+    """All sources together give what each gives alone, whether arcs are followed one by one or summed over all neighbours."""
+    import random
+
+    rng = random.Random(3)
+    for n, p in ((1, 0.5), (9, 0.3), (40, 0.1), (60, 0.5)):
+        pairs = [(u, v) for u in range(n) for v in range(u + 1, n) if rng.random() < p and (u < n // 4) == (v < n // 4)]
+        g = centrality.Graph([f"{a:02}" for a, _ in pairs], [f"{b:02}" for _, b in pairs], [rng.choice([1, 1, 1, 2, 2, 3, 7]) for _ in pairs], [f"{v:02}" for v in range(n)])
+        arcs = centrality.Arcs(g, weighted)
+        monkeypatch.setattr(centrality, "_pays", lambda *_: False)
+        alone = [centrality.from_source(arcs, s) for s in range(n)]
+        monkeypatch.setattr(centrality, "_pays", lambda g, arcs, k: sums and arcs > 0)
+        share, far, reached = centrality.from_sources(arcs, np.arange(n))
+        assert [r for _, _, r in alone] == reached.tolist() == arcs.size.tolist()
+        assert far.tolist() == pytest.approx([f for _, f, _ in alone]) and share == pytest.approx(np.array([x for x, _, _ in alone]))
+
+
+def test_sums_over_neighbours_are_exact():
+    """Blocks of like degree, a node of very many arcs and one of none; whole numbers stay exact in the type chosen for them."""
+    near = [[1, 2], [0], list(range(1000)), [], *[[2, k] for k in range(100)]]
+    at = np.cumsum([0, *map(len, near)])
+    sums = centrality.Sums(np.append(at, np.full(1000 - len(near), at[-1])), np.concatenate(near).astype(np.int32))
+    for most in (60, 10_000, 10**6, 10**12):
+        x = np.append(np.random.default_rng(1).integers(most // 2, most, 1000), 0).astype(np.float64)
+        want = [float(sum(int(x[v]) for v in row)) for row in near]
+        held = np.stack([x, x[::-1]], 1)
+        held[-1] = 0
+        assert sums.push(held.astype(centrality._narrow(most, 1000)))[: len(near), 0].tolist() == want
+        assert sums.pull(np.arange(len(near)), x).tolist() == want
+
+
 def test_adjacency(spark):
     rows = [(1, k, s) for k, s in enumerate(["a", "b", "", "b", "a", None, "c"])] + [(2, 0, "c"), (2, 1, "a")]
     got = network.adjacency(spark.createDataFrame(rows, "m int, k int, s string"), ["m"], ["k"], "s").collect()
